@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import benchmark_overlaps
 from .neardup import near_duplicates
+from .substring import repeated_spans
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,10 +33,16 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_debruijn_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_spans(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_winnowing": op5_winnowing,
         "op6_minhash_near_dedup": op6_minhash_near_dedup,
+        "op10_debruijn_substrings": op10_debruijn_substrings,
     }
 
 
