@@ -111,23 +111,26 @@ def _describe(k: int, hashes: int):
     return run
 
 
-def _bands(batches):
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint16).reshape(batch.num_rows, -1).astype(U64)
-        ids = np.asarray(batch.column(0))
-        for band in range(BANDS):
-            acc = np.full(len(ids), band + 1, dtype=U64)
-            for j in range(band * BAND_ROWS, (band + 1) * BAND_ROWS):
-                acc = mix(acc * U64(0x9E3779B97F4A7C15) + sig[:, j])
-            yield pa.RecordBatch.from_arrays([pa.array(acc.astype(np.int64)), pa.array(ids)], names=["bucket", "rep"])
-
-
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(len(column), -1)
 
 
+def _band_keys(sig: np.ndarray, band: int) -> np.ndarray:
+    """Bucket of each signature; its low 5 bits are the band."""
+    acc = np.full(len(sig), band + 1, dtype=U64)
+    for j in range(band * BAND_ROWS, (band + 1) * BAND_ROWS):
+        acc = mix(acc * U64(0x9E3779B97F4A7C15) + sig[:, j].astype(U64))
+    return (acc << U64(5) | U64(band)).astype(np.int64)
+
+
+def _bands(batches):
+    for batch in batches:
+        if batch.num_rows:
+            sig = _matrix(batch.column(1))
+            for band in range(BANDS):
+                yield pa.RecordBatch.from_arrays([pa.array(_band_keys(sig, band)), batch.column(0)], names=["bucket", "rep"])
+
+
 def _still_possible(one: np.ndarray, two: np.ndarray, limits: list[tuple[int, int]]) -> np.ndarray:
     """Indices of the row pairs that no batch has ruled out."""
     left, matches, before = np.arange(len(one)), np.zeros(len(one), dtype=np.int32), 0
@@ -149,13 +152,15 @@ def _judge_pairs(limits):
 
 
 def _judge_blocks(limits):
-    """Rows of (bucket, tile, ...) stand together; compares members of different components."""
+    """Rows of (bucket, tile, ...) stand together; compares members of different
+    components. A pair that shares an earlier band is left to that bucket."""
 
-    def pairs(rows):
+    def pairs(bucket, rows):
         ids = np.concatenate([r[0] for r in rows])
         comp = np.concatenate([r[1] for r in rows])
         side = np.concatenate([r[2] for r in rows])
         sig = np.concatenate([r[3] for r in rows])
+        earlier = [_band_keys(sig, band) for band in range(bucket & 31)]
         out_a, out_b = [], []
         for i in range(len(ids)):
             others = np.flatnonzero((comp != comp[i]) & ((ids > ids[i]) if (side == 0).all() else ((side == 1) & (side[i] == 0))))
@@ -168,6 +173,8 @@ def _judge_blocks(limits):
                     left, matches, before = left[go], matches[go], n
                     if not len(left):
                         break
+                for keys in earlier:
+                    left = left[keys[left] != keys[i]]
                 out_a.append(np.minimum(ids[i], ids[left]))
                 out_b.append(np.maximum(ids[i], ids[left]))
         if out_a:
@@ -185,11 +192,11 @@ def _judge_blocks(limits):
                 key = (int(bucket[lo]), int(tile[lo]))
                 if key != now:
                     if len(rows):
-                        yield from pairs(rows)
+                        yield from pairs(now[0], rows)
                     now, rows = key, []
                 rows.append((ids[lo:hi], comp[lo:hi], side[lo:hi], sig[lo:hi]))
         if rows:
-            yield from pairs(rows)
+            yield from pairs(now[0], rows)
 
     return run
 
