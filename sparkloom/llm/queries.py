@@ -7,15 +7,45 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import bpe_encode
 from .decontaminate import benchmark_overlaps
 from .neardup import near_duplicates
+from .secrets import find_secrets
 from .substring import repeated_spans
+from .toxicity import fit, labelled_sample, toxicity_scores
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    written = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+    count = lambda kind: F.size(F.filter("secret_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        count("assign"),
+        count("access"),
+        count("hex"),
+        F.sha2(written(F.filter("secret_spans", lambda s: s["kind"] != "literal")), 256).alias("base_sha256"),
+        written(F.col("secret_spans")).alias("spans"),
+        count("literal"),
+    )
+
+
+def op4_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit(labelled_sample(docs, _table(spark, sf_dir, "labels")))
+    scored = toxicity_scores(docs, model)
+    return scored.select(
+        "doc_id",
+        (F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2).alias("held_out"),
+        F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = benchmark_overlaps(docs, _table(spark, sf_dir, "benchmark"))
@@ -33,6 +63,19 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = bpe_encode(docs, path=public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN, with_decoded=True)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op10_debruijn_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeated_spans(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -40,8 +83,11 @@ def op10_debruijn_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_secret_scan": op1_secret_scan,
+        "op4_compression_toxicity": op4_compression_toxicity,
         "op5_winnowing": op5_winnowing,
         "op6_minhash_near_dedup": op6_minhash_near_dedup,
+        "op9_byte_bpe": op9_byte_bpe,
         "op10_debruijn_substrings": op10_debruijn_substrings,
     }
 
