@@ -151,19 +151,22 @@ def _judge_pairs(limits):
     return run
 
 
-def _judge_blocks(limits):
+def _judge_blocks(limits, farthest: float):
     """Rows of (bucket, tile, ...) stand together; compares members of different
-    components. A pair that shares an earlier band is left to that bucket."""
+    components. A pair that shares an earlier band is left to that bucket. Where
+    the exact distances of both to the pivot are known, the triangle inequality
+    rules out pairs that must lie farther apart than a link allows."""
 
     def pairs(bucket, rows):
         ids = np.concatenate([r[0] for r in rows])
         comp = np.concatenate([r[1] for r in rows])
         side = np.concatenate([r[2] for r in rows])
         sig = np.concatenate([r[3] for r in rows])
+        far = np.concatenate([r[4] for r in rows])
         earlier = [_band_keys(sig, band) for band in range(bucket & 31)]
         out_a, out_b = [], []
         for i in range(len(ids)):
-            others = np.flatnonzero((comp != comp[i]) & ((ids > ids[i]) if (side == 0).all() else ((side == 1) & (side[i] == 0))))
+            others = np.flatnonzero(~(np.abs(far - far[i]) > farthest + 1e-9) & (comp != comp[i]) & ((ids > ids[i]) if (side == 0).all() else ((side == 1) & (side[i] == 0))))
             for lo in range(0, len(others), 4096):
                 part = others[lo : lo + 4096]
                 left, matches, before = part, np.zeros(len(part), np.int32), 0
@@ -188,13 +191,14 @@ def _judge_blocks(limits):
             bucket, tile = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             change = np.flatnonzero((bucket[1:] != bucket[:-1]) | (tile[1:] != tile[:-1])) + 1
             ids, comp, side, sig = np.asarray(batch.column(2)), np.asarray(batch.column(3)), np.asarray(batch.column(4)), _matrix(batch.column(5))
+            far = batch.column(6).to_numpy(zero_copy_only=False).astype(np.float64)  # unknown: NaN, which rules nothing out
             for lo, hi in zip([0, *change], [*change, len(bucket)], strict=True):
                 key = (int(bucket[lo]), int(tile[lo]))
                 if key != now:
                     if len(rows):
                         yield from pairs(now[0], rows)
                     now, rows = key, []
-                rows.append((ids[lo:hi], comp[lo:hi], side[lo:hi], sig[lo:hi]))
+                rows.append((ids[lo:hi], comp[lo:hi], side[lo:hi], sig[lo:hi], far[lo:hi]))
         if rows:
             yield from pairs(now[0], rows)
 
@@ -218,17 +222,14 @@ def _sets(k: int):
 def _exact(numerator: int, denominator: int):
     def run(batches):
         for batch in batches:
-            good = []
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                one, two = np.frombuffer(x.as_buffer(), dtype=U64), np.frombuffer(y.as_buffer(), dtype=U64)
-                if denominator * min(len(one), len(two)) < numerator * max(len(one), len(two)):
-                    continue
-                both = np.concatenate((one, two))
+            linked, distance = [], []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                both = np.concatenate((np.frombuffer(x.as_buffer(), dtype=U64), np.frombuffer(y.as_buffer(), dtype=U64)))
                 both.sort(kind="stable")
                 shared = int((both[1:] == both[:-1]).sum())
-                if denominator * shared >= numerator * (len(both) - shared):
-                    good.append(i)
-            yield batch.select([0, 1]).take(pa.array(good, pa.int64()))
+                linked.append(denominator * shared >= numerator * (len(both) - shared))
+                distance.append(1 - shared / (len(both) - shared))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(distance, pa.float64())], names=["a", "b", "linked", "distance"])
 
     return run
 
@@ -240,7 +241,7 @@ def near_duplicates(
     text_col: str = "text",
     shingle_words: int = 5,
     similarity: tuple[int, int] = (85, 100),
-    miss: float = 1e-6,
+    miss: float = 1e-5,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each distinct id.
 
@@ -276,6 +277,7 @@ def near_duplicates(
     crowd = shared.groupBy("rep").agg(F.sum("members").alias("crowd"))
     shared_by_crowd = shared.join(crowd, "rep")
     pivots = shared_by_crowd.groupBy("bucket").agg(F.max(F.struct("crowd", (-F.col("rep")).alias("neg"))).alias("top")).select("bucket", (-F.col("top.neg")).alias("pivot"))
+    pivots = scratch.keep(pivots, "pivots")
     stars = shared.join(pivots, "bucket").where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
 
     def with_sigs(pairs: DataFrame) -> DataFrame:
@@ -291,17 +293,20 @@ def near_duplicates(
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         one, two = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("set_a")), sets.select(F.col("rep").alias("b"), F.col("shingles").alias("set_b"))
-        return scratch.keep(pairs.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b").mapInArrow(_exact(*similarity), "a long, b long"), name)
+        return scratch.keep(pairs.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b").mapInArrow(_exact(*similarity), "a long, b long, linked boolean, distance double"), name)
 
-    links = verified(candidates, "links-1")
-    labels = connected_components(links, scratch, "cc1")
+    judged = verified(candidates, "judged-1")
+    labels = connected_components(judged.where("linked"), scratch, "cc1")
 
     # Buckets that still hold several components.
     member = shared.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("comp"))
     open_buckets = member.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).where("lo < hi").select("bucket", "members")
+    member = member.join(open_buckets, "bucket").join(pivots, "bucket")
+    ends = [F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")]
+    member = member.select("bucket", "rep", "comp", "members", "pivot", *ends).join(judged.select("a", "b", "distance"), ["a", "b"], "left")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     at = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    placed = member.join(open_buckets.withColumn("blocks", blocks), "bucket").withColumn("at", at)
+    placed = member.withColumn("blocks", blocks).withColumn("at", at).withColumn("far", F.when(F.col("rep") == F.col("pivot"), 0.0).otherwise(F.col("distance")))
     # Tile (i, j), i <= j, compares block i with block j; a member of block i stands on side 0 of the tiles (i, *) and side 1 of (*, i).
     spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "bucket",
@@ -309,12 +314,13 @@ def near_duplicates(
         "rep",
         "comp",
         F.when(F.col("at") > F.col("other"), 1).otherwise(0).alias("side"),
+        "far",
     )
-    tiled = spread.join(sigs, "rep").select("bucket", "tile", "rep", "comp", "side", "sig")
+    tiled = spread.join(sigs, "rep").select("bucket", "tile", "rep", "comp", "side", "sig", "far")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tiled = tiled.repartition(tasks, "bucket", "tile").sortWithinPartitions("bucket", "tile")
-    late = tiled.mapInArrow(_judge_blocks(limits), "a long, b long").distinct().join(candidates, ["a", "b"], "left_anti")
-    more = verified(late, "links-2")
+    late = tiled.mapInArrow(_judge_blocks(limits, 1 - similarity[0] / similarity[1]), "a long, b long").distinct().join(candidates, ["a", "b"], "left_anti")
+    more = verified(late, "judged-2").where("linked")
     # Both rounds' links, between components of the first.
     first = labels.select(F.col("node").alias("x"), "component")
     joined = more.join(first.withColumnRenamed("x", "a").withColumnRenamed("component", "ca"), "a", "left").join(first.withColumnRenamed("x", "b").withColumnRenamed("component", "cb"), "b", "left")

@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_encode
+from .conversations import format_paths, linear_messages, loss_texts, read_back, tree_paths
 from .decontaminate import benchmark_overlaps
 from .neardup import near_duplicates
 from .secrets import find_secrets
 from .substring import repeated_spans
 from .toxicity import fit, labelled_sample, toxicity_scores
+from .urlfilter import example_urls, filter_urls, fit_urls, parse_rule
+from .warc import archive_round_trip
+from .neighbours import nearest_neighbours
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +38,20 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+RULES = ("block net/", "allow example.net/en/", "block example.com/de/", "allow org/fr/")
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    judged = filter_urls(pages, [parse_rule(r) for r in RULES], fit_urls(example_urls(spark)))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "block_logit")
+
+
+def op3_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = archive_round_trip(_table(spark, sf_dir, "pages"), id_col="page_id", payload_col="html")
+    return read.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(labelled_sample(docs, _table(spark, sf_dir, "labels")))
@@ -63,6 +81,31 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
+    messages = linear_messages(rows.unionByName(extra))
+    chosen = tree_paths(messages, top=1)
+    turns = chosen.join(messages, ["tree", "id"]).select("tree", F.col("depth").alias("position"), "role", "text")
+    made = format_paths(turns, ["tree"])
+    back, loss = made.withColumns({"turns": read_back(), "loss": F.array_join(loss_texts(), "")}), F.col("loss")
+    joined = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        F.expr("try_cast(tree AS bigint)").alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(joined, 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op8_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest_neighbours(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -84,13 +127,44 @@ def op10_debruijn_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
+        "op2_url_filter": op2_url_filter,
+        "op3_warc_round_trip": op3_warc_round_trip,
         "op4_compression_toxicity": op4_compression_toxicity,
         "op5_winnowing": op5_winnowing,
         "op6_minhash_near_dedup": op6_minhash_near_dedup,
+        "op7_chat_format": op7_chat_format,
+        "op8_learned_partitions": op8_learned_partitions,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_debruijn_substrings": op10_debruijn_substrings,
     }
 
 
+OP3_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+     d AS (SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+     f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM d)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM f
+"""
+
+OP7_SQL = """
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e AS (
+  SELECT *, replace(replace(role, '&', '&amp;'), '<', '&lt;') AS erole, replace(replace(text, '&', '&amp;'), '<', '&lt;') AS etext FROM c
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(8 + length(erole) + 1 + length(etext) + 8) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_warc_round_trip": OP3_SQL, "op7_chat_format": OP7_SQL}

@@ -7,8 +7,11 @@ lost executor costs a re-read and never a recomputation of everything before.
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,8 +57,25 @@ class Scratch:
         _remove(self.spark, f"{self.base}/{name}")
 
 
+def importable(spark: SparkSession) -> None:
+    """Ship the package to Python workers that won't find it: those of a driver
+    that has it from neither its working folder nor PYTHONPATH."""
+    root = Path(__file__).resolve().parents[2]
+    places = [Path.cwd(), *map(Path, filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep)))]
+    context = spark.sparkContext
+    if any((p / "sparkloom").is_dir() for p in places) or getattr(context, "_sparkloom_shipped", False):
+        return
+    made = Path(tempfile.mkdtemp(prefix="sparkloom-")) / "sparkloom.zip"
+    with zipfile.ZipFile(made, "w") as z:
+        for f in sorted((root / "sparkloom").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    context.addPyFile(str(made))
+    context._sparkloom_shipped = True
+
+
 def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Keep Arrow batches of whole documents small."""
+    """Keep Arrow batches of whole documents small, and workers able to import this package."""
+    importable(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > rows:
