@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import _c, cut_before, rstrip, strip, without_spaces
+from .text import _c, cut_before, let, rstrip, strip, without_spaces
 
 # Fixed values of the answer format.
 END_MARKERS = (
@@ -126,11 +126,11 @@ def finished(text: str | Column) -> Column:
 
 def clean_answer(text: str | Column) -> Column:
     """All steps in their order."""
-    t = strip(F.replace(_c(text), F.lit("\r\n"), F.lit("\n")))
-    t = before_leaked_role(cut_before(to_end_marker(t), STOP_MARKERS))
-    t = numbered_lines(normal_prices(plain_links(without_noise(t))))
-    t = distinct_runs_of_sentences(distinct_runs_of_lines(t))
-    t = finished(with_full_reference(with_service_intro(t)))
+    steps = [
+        to_end_marker, lambda t: cut_before(t, STOP_MARKERS), before_leaked_role, without_noise, plain_links, normal_prices, numbered_lines,
+        distinct_runs_of_lines, distinct_runs_of_sentences, with_service_intro, with_full_reference, finished,
+    ]
+    t = reduce(let, steps, strip(F.replace(_c(text), F.lit("\r\n"), F.lit("\n"))))
     return strip(F.regexp_replace(t, "\n{3,}", "\n\n"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -153,9 +154,15 @@ def hash_bucket(text: str | Column, modulus: int = 100) -> Column:
     return F.aggregate(digits, F.lit(0), lambda acc, d: ((acc * 16 + F.conv(d, 16, 10).cast("int")) % modulus).cast("int"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def cut_before(text: Column, markers: tuple[str, ...]) -> Column:
     """The text up to each marker in turn, right-trimmed where one was cut."""
-    return reduce(lambda t, m: F.when(F.instr(t, m) > 0, rstrip(F.substring_index(t, m, 1))).otherwise(t), markers, text)
+    one = lambda m: lambda t: F.when(F.contains(t, F.lit(m)), rstrip(F.substring_index(t, m, 1))).otherwise(t)
+    return reduce(lambda t, m: let(t, one(m)), markers, text)
 
 
 def budget_score(answer: str | Column, limit: str | Column) -> Column:

@@ -126,9 +126,9 @@ def _sparse(spark, d, k=20):
     return I.bm25(table(spark, d, "documents"), _questions(spark, d), k)
 
 
-@query("ir_bm25_topk", f"WITH {_BM25} SELECT qid, doc_id, round(score, 4) AS score, rank FROM bm")
+@query("ir_bm25_topk", f"WITH {_BM25} SELECT qid, doc_id, score, rank FROM bm")
 def bm25_topk(spark, d):
-    return _sparse(spark, d).select("qid", "doc_id", F.round("score", 4).alias("score"), "rank")
+    return _sparse(spark, d).select("qid", "doc_id", "score", "rank")
 
 
 _DENSE = """v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
@@ -142,9 +142,9 @@ def _dense(spark, d, k=20):
     return I.dense(vectors, asked, k)
 
 
-@query("ir_dense_topk", f"WITH {_DENSE} SELECT qid, doc_id, round(score, 4) AS score, rank FROM dn")
+@query("ir_dense_topk", f"WITH {_DENSE} SELECT qid, doc_id, score, rank FROM dn")
 def dense_topk(spark, d):
-    return _dense(spark, d).select("qid", "doc_id", F.round("score", 4).alias("score"), "rank")
+    return _dense(spark, d).select("qid", "doc_id", "score", "rank")
 
 
 @query("ir_cosine", "SELECT a.vec_id, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])) + 1e-10), 5) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
@@ -186,9 +186,9 @@ _RELEVANT = "rel AS (SELECT item_id AS qid, doc_id FROM benchmark b JOIN documen
     f"""WITH {_BM25}, {_RELEVANT}, ks(k) AS (VALUES (1), (3), (5), (10), (20)), n AS (SELECT qid, count(*) AS relevant FROM rel GROUP BY qid), h AS (SELECT bm.qid, rank FROM bm JOIN rel USING (qid, doc_id)),
     o AS (SELECT b.item_id AS qid, k, coalesce(any_value(relevant), 0) AS relevant, count(h.rank) AS found, min(h.rank) AS first, coalesce(sum(1 / log2(h.rank + 1)), 0) AS gain
           FROM benchmark b CROSS JOIN ks LEFT JOIN n ON n.qid = b.item_id LEFT JOIN h ON h.qid = b.item_id AND h.rank <= k GROUP BY 1, 2),
-    s AS (SELECT k, coalesce(1.0 / first, 0) AS rr, CASE WHEN relevant > 0 THEN found / relevant ELSE 0 END AS recall, found / k AS precision,
+    sm AS (SELECT k, coalesce(1.0 / first, 0) AS rr, CASE WHEN relevant > 0 THEN found / relevant ELSE 0 END AS recall, found / k AS precision,
           CASE WHEN relevant > 0 THEN gain / list_sum(list_transform(range(1, least(k, relevant) + 1), lambda i: 1 / log2(i + 1))) ELSE 0 END AS ndcg FROM o)
-    SELECT k, round(avg(rr), 6) AS mrr, round(avg(recall), 6) AS recall, round(avg(precision), 6) AS precision, round(avg(ndcg), 6) AS ndcg FROM s GROUP BY k""",
+    SELECT k, round(avg(rr), 6) AS mrr, round(avg(recall), 6) AS recall, round(avg(precision), 6) AS precision, round(avg(ndcg), 6) AS ndcg FROM sm GROUP BY k""",
 )
 def rank_metrics(spark, d):
     asked = _questions(spark, d)
