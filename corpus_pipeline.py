@@ -24,7 +24,7 @@ TOXIC_FROM = 0.3
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is TOXIC_FROM or more go."""
-    model = fit(labelled_sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    model = fit(*labelled_sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return toxicity_scores(docs, model).where(F.col("toxicity") < TOXIC_FROM).select(docs.columns)
 
 

@@ -54,7 +54,7 @@ def op3_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = fit(labelled_sample(docs, _table(spark, sf_dir, "labels")))
+    model = fit(*labelled_sample(docs, _table(spark, sf_dir, "labels")))
     scored = toxicity_scores(docs, model)
     return scored.select(
         "doc_id",

@@ -28,7 +28,7 @@ from .wordhash import FOLDED_WORDS, text_slices
 _FOLD = bytes(FOLDED_WORDS.fold)
 THRESHOLDS = (2, 3, 4, 5)
 #: Row limits of the labelled sample, by class.
-SAMPLE_TOXIC, SAMPLE_ORDINARY = 4000, 8000
+SAMPLE_TOXIC, SAMPLE_ORDINARY = 2500, 4500
 
 
 def windows(text: bytes, size: int) -> list[bytes]:
@@ -66,7 +66,7 @@ class ToxicityModel:
         n = len(diff)
         top = np.sort(diff)[-3:][::-1] if n else np.zeros(0)
         top = np.concatenate((top, np.zeros(3 - len(top))))
-        out = [float(top[0]), float(top[1]), float(top[2]), float(diff.mean()) if n else 0.0]
+        out = [float(top[0]), float(top[1]), float(top[2]), float(diff.mean()) if n else 0.0, float(np.clip(diff - 2.5, 0, None).sum() / max(1, n) ** 0.5)]
         for t, rate in zip(THRESHOLDS, self.rates or [0.01] * len(THRESHOLDS), strict=True):
             k = int((diff >= t).sum())
             out += [(k - rate * n) / (rate * n + 1) ** 0.5, float(np.log1p(max(0.0, k - rate * n)))]
@@ -106,7 +106,7 @@ def _bound_grams(of_toxic: Counter, of_ordinary: Counter, documents: int) -> tup
     ranked = []
     for g, v in seen.items():
         w = other[g]
-        if v / (v + w) > 3 * share:
+        if v * (1 - share) > 3 * w * share:
             ranked.append((2 * (v * np.log(v / ((v + w) * share)) + w * np.log(max(w, 0.5) / ((v + w) * (1 - share)))), g))
     chosen: list[str] = []
     for z, g in sorted(ranked, key=lambda x: (-x[0], x[1])):
@@ -120,7 +120,7 @@ def _bound_grams(of_toxic: Counter, of_ordinary: Counter, documents: int) -> tup
 def _marking_words(of_toxic: Counter, of_ordinary: Counter, grams: list[str], share: float, limit: int = 4000) -> list[str]:
     """Words, commonest first, that hold one of the grams and are all but absent elsewhere."""
     marked = [w for w, _ in sorted(of_toxic.items(), key=lambda x: (-x[1], x[0])) if any(g in " " + w for g in grams)]
-    return [w for w in marked if of_ordinary[w] * share * 10 <= of_toxic[w]][:limit]
+    return [w for w in marked if 10 * of_ordinary[w] * share <= of_toxic[w] * (1 - share)][:limit]
 
 
 def _rank_quality(score: np.ndarray, label: np.ndarray) -> float:
@@ -151,10 +151,11 @@ def _model(words: list[str], common: list[str], base: bytes) -> ToxicityModel:
     return ToxicityModel(base + b" " + raw, base + b" " + " ".join(w for w in common if w not in taken).encode()[: len(raw)])
 
 
-def fit(rows: list[tuple[str, int]], base_bytes: int = 32000, gram_counts: tuple[int, ...] = (16, 32, 64, 128, 256)) -> ToxicityModel:
+def fit(rows: list[tuple[str, int]], prior: float | None = None, base_bytes: int = 32000, gram_counts: tuple[int, ...] = (16, 32, 64, 128, 256)) -> ToxicityModel:
     """rows: (text, label), in an order that doesn't depend on the label. Two
     thirds of each class make the dictionaries, one third calibrates: how many
-    grams mark toxic words, the rates, and the logistic model."""
+    grams mark toxic words, the rates, and the logistic model. prior is the share
+    of toxic labels where rows hold another one."""
     fold = lambda t: (t or "").encode().translate(_FOLD)
     bad = [fold(t) for t, y in rows if y == 1]
     good = [fold(t) for t, y in rows if y == 0]
@@ -171,7 +172,7 @@ def fit(rows: list[tuple[str, int]], base_bytes: int = 32000, gram_counts: tuple
     common.sort(key=lambda w: zlib.crc32(w.encode()))
     held = [(t, 1) for t in bad[cut_b:]] + [(t, 0) for t in good[cut_g:]]
     y = np.array([y for _, y in held], dtype=float)
-    width = 4 + 2 * len(THRESHOLDS)
+    width = 5 + 2 * len(THRESHOLDS)
     if not 0 < y.sum() < len(y):
         model = _model(_marking_words(of_toxic, of_ordinary, grams[:64], share), common, base)
         share = (len(bad) + 0.5) / (len(rows) + 1)
@@ -196,6 +197,8 @@ def fit(rows: list[tuple[str, int]], base_bytes: int = 32000, gram_counts: tuple
     x = np.array([model.features(d) for d in diffs]).reshape(len(held), width)
     model.centre, model.spread = x.mean(axis=0).tolist(), (x.std(axis=0) + 1e-6).tolist()
     model.weights = _logistic(np.clip((x - model.centre) / model.spread, -8, 8), y).tolist()
+    if prior is not None and 0 < prior < 1:
+        model.weights[0] += float(np.log(prior / (1 - prior)) - np.log(y.sum() / (len(y) - y.sum())))
     return model
 
 
@@ -217,21 +220,24 @@ def _score(payload):
     return run
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", toxic: int = SAMPLE_TOXIC, ordinary: int = SAMPLE_ORDINARY) -> list[tuple[str, int]]:
-    """At most so many labelled rows of either class, chosen by a hash of the id,
-    without rows whose crc32(doc_id as text) mod 4 is 2; and their texts."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", toxic: int = SAMPLE_TOXIC, ordinary: int = SAMPLE_ORDINARY) -> tuple[list[tuple[str, int]], float | None]:
+    """The texts and labels of at most so many labelled rows of either class,
+    chosen by a hash of the id, without rows whose crc32(doc_id as text) mod 4 is
+    2; and the share of toxic labels among all such rows."""
     usable = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isin(0, 1) & (F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) != 2))
     one = usable.groupBy("doc_id").agg(F.max(label_col).alias("y"), F.min(label_col).alias("z")).where("y = z").select("doc_id", "y", F.xxhash64("doc_id").alias("h"))
+    sizes = {r.y: r["count"] for r in one.groupBy("y").count().collect()}
+    prior = sizes.get(1, 0) / sum(sizes.values()) if sizes else None
     picked = []
     for y, n in ((1, toxic), (0, ordinary)):
         picked += [(r.doc_id, y) for r in one.where(F.col("y") == y).orderBy("h", "doc_id").limit(n).collect()]
     if not picked:
-        return []
+        return [], prior
     spark = docs.sparkSession
     wanted = F.broadcast(spark.createDataFrame(picked, "doc_id long, y int"))
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id").collect()
     found.sort(key=lambda r: (zlib.crc32(b"order" + str(r.doc_id).encode()), r.doc_id, r.text or ""))
-    return [(r.text or "", r.y) for r in found]
+    return [(r.text or "", r.y) for r in found], prior
 
 
 def toxicity_scores(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text") -> DataFrame:
