@@ -1,11 +1,13 @@
 """Every registered query against DuckDB, or that it runs where SQL has no form."""
 
+import os
+
 import pytest
 
 from sparkloom import catalogue
 from tests.oracle import connect, difference
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("TEST_SF", "/root/testdata/sf0.001")
 SQL = catalogue.oracle_sql()
 
 
