@@ -136,7 +136,18 @@ def _write(base: str):
             for batch in batches:
                 yield from zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True)
 
-        stream = rows()
+        def referred(stream):
+            """A row without a size names the response of the records with its id and digest, which follow it."""
+            of, known = None, {}
+            for number, record, payload, size, digest, first in stream:
+                if record != of:
+                    of, known = record, {}
+                if size is None:
+                    known[digest] = first
+                else:
+                    yield number, record, payload, size, digest, known.get(digest)
+
+        stream = referred(rows())
         row = next(stream, None)
         while row is not None:
             number, ahead = row[0], [row]
@@ -215,19 +226,19 @@ def write_archives(records: DataFrame, base: str, *, id_col: str, payload_col: s
     spark: SparkSession = records.sparkSession
     rows = records.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
     rows = rows.withColumns({"size": F.octet_length("payload").cast("long"), "digest": F.sha2("payload", 256)})
-    # Only digests that occur again are joined; each is aggregated before it is shuffled.
-    again = rows.where(F.col("size") >= LEAST_REVISIT).groupBy("digest").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("digest", "first_id")
+    # Digests that occur again are aggregated before they are shuffled and joined to ids alone;
+    # the payloads are shuffled once, to their archives, where a record's reference stands before it.
+    digests = rows.where(F.col("size") >= LEAST_REVISIT).select("id", "digest")
+    again = digests.groupBy("digest").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("digest", "first_id")
+    revisits = digests.join(again, "digest").where("id <> first_id").distinct()
     total = rows.agg(F.sum("size")).first()[0] or 0
     count = max(1, -(-total // archive_bytes), min(int(spark.conf.get("spark.sql.shuffle.partitions")), total >> 20))
-    typed = rows.join(again, "digest", "left").select(
-        F.pmod(F.xxhash64("id"), F.lit(count)).cast("int").alias("archive"),
-        "id",
-        "payload",
-        "size",
-        "digest",
-        F.when(F.col("first_id") != F.col("id"), F.col("first_id")).alias("refers_to"),
-    )
-    return typed.repartition(count, "archive").sortWithinPartitions("archive", "id").mapInArrow(_write(base), "path string, records long")
+    none = lambda kind: F.lit(None).cast(kind)
+    named = revisits.select("id", none("string").alias("payload"), none("long").alias("size"), "digest", F.col("first_id").alias("refers_to"))
+    both = named.unionByName(rows.withColumn("refers_to", none("long")))
+    dealt = both.select(F.pmod(F.xxhash64("id"), F.lit(count)).cast("int").alias("archive"), "id", "payload", "size", "digest", "refers_to")
+    ordered = dealt.repartition(count, "archive").sortWithinPartitions("archive", "id", F.col("size").asc_nulls_first())
+    return ordered.mapInArrow(_write(base), "path string, records long")
 
 
 def normalise_archives(paths: DataFrame) -> DataFrame:
