@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .scratch import Scratch, bounded_batches
 
 _VERSION = b"WARC/1.0\r\n"
-CHUNK = 1 << 18
+CHUNK = 1 << 16
 #: Payloads shorter than this are stored again rather than revisited.
 LEAST_REVISIT = 100
 
@@ -261,7 +261,7 @@ def archive_round_trip(records: DataFrame, *, id_col: str, payload_col: str, wit
     theirs is the smallest id. An empty table gives an empty result.
     """
     spark: SparkSession = records.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, 200)
     scratch = Scratch(spark, "warc")
     written = scratch.keep(write_archives(records, f"{scratch.base}/archives", id_col=id_col, payload_col=payload_col), "written")
     count = max(1, written.count())
