@@ -257,9 +257,10 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, *, k: int = 20, i
     dim, total = (lengths[0]["n"], lengths[0]["count"]) if lengths else (1, 0)
     good = good.where(F.size("v") == dim)
     asked = usable(queries, id_col, vector_col).where(F.size("v") == dim)
-    # A sample by hash order; at most SAMPLE rows reach the driver.
+    # The SAMPLE rows of smallest hash over all partitions; the filter only bounds what the sort reads.
     keep = min(1.0, 2.0 * SAMPLE / max(1, total))
-    drawn = good.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30)) < int(keep * (1 << 30))).limit(SAMPLE).collect()
+    spread = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30))
+    drawn = good.where(spread < int(keep * (1 << 30))).orderBy(spread, "id").limit(SAMPLE).collect()
     sample = np.array([r.v for r in sorted(drawn, key=lambda r: r.id)], dtype=np.float64).reshape(len(drawn), dim)
     parts = parts or int(min(64, max(1, len(sample) // 150)))
     router = fit_router(sample, parts=parts, k=k, recall=recall)

@@ -263,6 +263,24 @@ def test_neighbours(spark):
     assert nearest_neighbours(empty(spark, "vec_id long, embedding array<float>"), empty(spark, "vec_id long, embedding array<float>")).isEmpty()
 
 
+def test_neighbours_of_a_table_in_cluster_order(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(200, 64))
+    x = np.repeat(centres, 120, axis=0) + 0.6 * rng.normal(size=(24_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    asked = range(0, 24_000, 100)
+    got = {q: set() for q in asked}
+    for r in nearest_neighbours(df, df.where("vec_id % 100 = 0"), k=20).collect():
+        got[r.query_id].add(r.vec_id)
+    share = []
+    for q in asked:
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        share.append(len(got[q] & set(np.argsort(-scores)[:20].tolist())) / 20)
+    assert np.mean(share) >= 0.9 and np.mean(share[120:]) >= 0.9
+
+
 # 9
 def test_bpe(spark):
     import public_tokenizers as P
