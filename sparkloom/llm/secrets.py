@@ -3,8 +3,9 @@
 Base rules find three kinds of literal by pattern. The lexer adds ``literal``
 spans: it reads source and configuration syntax (``name = value``,
 ``"name": "value"``, ``name := value``, ``export NAME=value``,
-``name => value``) into name-literal pairs, joins adjacent string constants
-(``"a" + "b"``), follows names that stand for constants of the same text
+``name => value``, ``name: type = value``, ``name string = "value"``,
+``name[] = "value"``) into name-literal pairs, reads escapes in quoted literals,
+joins adjacent string constants (``"a" + "b"``), follows names that stand for constants of the same text
 (``KEY = "..."`` then ``password = KEY``) to their literals, and scores each
 literal by the sensitive words of the target's name and by its own randomness.
 """
@@ -28,11 +29,17 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 #: Weight of words in a target's name, beside "key" and "id" that only count with others.
 _SENSITIVE = {"password": 3, "passwd": 3, "pwd": 3, "passphrase": 3, "secret": 3, "token": 2, "apikey": 3, "credential": 3, "credentials": 3, "auth": 2, "bearer": 2, "private": 2, "signing": 2, "access": 1, "key": 1, "salt": 1}
 _PUBLIC = {"public", "example", "test", "length", "count", "size", "name", "type", "url", "path", "file"}
+_QUOTED = r"""(?:"(?P<d>[^"\\\r\n]*+(?:\\[^\r\n][^"\\\r\n]*+)*+)"|'(?P<s>[^'\\\r\n]*+(?:\\[^\r\n][^'\\\r\n]*+)*+)'"""
+#: A type of a declaration: str, &'static str, Optional[str], std::string, string | null.
+_TYPE = r"""[&*]{0,2}(?:'[a-z_]{1,20}[ \t]+)?(?:(?:mut|const)[ \t]+)?[A-Za-z_][A-Za-z0-9_.:]{0,60}+(?:[<\[][^=;"'\r\n]{0,60}[>\]])?[?!*&]?(?:[ \t]*\|[ \t]*[A-Za-z_][A-Za-z0-9_.]{0,60}){0,4}"""
 _PAIR = re.compile(
-    r"""(?P<open>["']?)(?P<name>[A-Za-z_][A-Za-z0-9_.\-]{0,80})(?P=open)[ \t]*(?::=|=>|=(?![=~>])|:(?![:/=]))[ \t]*"""
-    r"""(?:"(?P<d>[^"\\\r\n]*)"|'(?P<s>[^'\\\r\n]*)'|(?P<bare>[^\s"',;(){}\[\]]+))"""
+    r"""(?P<open>["']?)(?P<name>[A-Za-z_][A-Za-z0-9_.\-]{0,80})(?P=open)(?:\[[0-9]{0,6}\])?"""
+    rf"""(?:[ \t]*:[ \t]*(?P<type>{_TYPE})(?:[ \t]+=[ \t]+|[ \t]*=[ \t]*(?=["']))|[ \t]+(?:\*?string|\[\]byte)[ \t]*=[ \t]*(?=["'])|[ \t]*(?::=|=>|=(?![=~>])|:(?![:/=]))[ \t]*)"""
+    rf"""{_QUOTED}|(?P<bare>[^\s"',;(){{}}\[\]]+))"""
 )
-_MORE = re.compile(r"""[ \t]*(?:\+|\.|\\\r?\n)?[ \t]*(?:"(?P<d>[^"\\\r\n]*)"|'(?P<s>[^'\\\r\n]*)')""")
+_MORE = re.compile(rf"""[ \t]*(?:\+|\.|\\\r?\n)?[ \t]*{_QUOTED})""")
+_ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2})|(.))")
+_CONTROL = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f", "0": "\0"}
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.\-]*\Z")
 
@@ -59,8 +66,12 @@ def literal_score(value: str) -> float:
     return _entropy(value) * (0.5 + 0.25 * classes)
 
 
+def unescaped(literal: str) -> str:
+    return _ESCAPE.sub(lambda m: chr(int(m[1] or m[2], 16)) if m[3] is None else _CONTROL.get(m[3], m[3]), literal)
+
+
 def lex_pairs(text: str) -> list[tuple[str, str, int, int]]:
-    """(name, literal, start, end of the literal): joined strings are one literal."""
+    """(name, literal without escapes, start, end of the literal): joined strings are one literal."""
     out = []
     for m in _PAIR.finditer(text):
         kind = m.lastgroup
@@ -70,6 +81,9 @@ def lex_pairs(text: str) -> list[tuple[str, str, int, int]]:
             while value is not None and (more := _MORE.match(text, at)) and more.end() > at and text[at : more.end()].strip()[:1] in "+.\\\"'":
                 g = more.lastgroup
                 value, end, at = value + more[g], more.end(g), more.end()
+            value = unescaped(value)
+        if m["type"] and any("0" <= c <= "9" for c in m["type"]):  # rather a bare value
+            out.append((m["name"], m["type"], m.start("type"), m.end("type")))
         out.append((m["name"], value, start, end))
     return out
 

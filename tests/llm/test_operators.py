@@ -71,6 +71,29 @@ def test_secret_lexer():
     assert found == ["9f8Hq2ZxT7pLw0", 'aB3dE" + "6gHiJ9kL']
 
 
+def test_secret_lexer_escapes_and_types():
+    key, value = r"wJalrXUtnFEMI\/K7MDENG\/bPxRfiCYq", "S3cr3tV4lue9xQz"
+    forms = {
+        f'"aws_secret_access_key": "{key}"': key,
+        f"db_passphrase = '{key}' + \"x\\\"y\"": key + "' + \"x\\\"y",
+        f'db_password: str = "{value}"': value,
+        f'let auth_token: &str = "{value}";': value,
+        f'static AUTH_TOKEN: &\'static str="{value}";': value,
+        f"const apiKey: string | null = '{value}'": value,
+        f'auth_token: Optional[str] = "{value}"': value,
+        f'var authToken string = "{value}"': value,
+        f'const char db_password[] = "{value}";': value,
+        f'KEY: Final[str] = "{value}"\ndb_pwd: str = KEY': value,
+        f"pwd: {value} = x": value,
+        f"pwd: {value}=": value + "=",
+        f"pwd: a={value}": "a=" + value,
+    }
+    assert {t: [t[a:b] for a, b, k in scan(t) if k == "literal"] for t in forms} == {t: [v] for t, v in forms.items()}
+    assert [k for _, _, k in scan('db_password: str = ""\nauth_token = "not a \\"secret\\" at all"\ntoken: "open')] == []
+    text = 'password = "' + "a\\\\" * 50_000 + "\n" + "x: " * 30_000
+    assert scan(text) == []
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "é password=abcdefghijklmnop9 y"), (2, None), (3, "clean")], "doc_id long, text string")
     got = {r.doc_id: r.out for r in find_secrets(df).select("doc_id", redacted("text", "secret_spans").alias("out")).collect()}
