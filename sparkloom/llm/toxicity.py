@@ -175,8 +175,8 @@ def fit(rows: list[tuple[str, int]], prior: float | None = None, base_bytes: int
     width = 5 + 2 * len(THRESHOLDS)
     if not 0 < y.sum() < len(y):
         model = _model(_marking_words(of_toxic, of_ordinary, grams[:64], share), common, base)
-        share = (len(bad) + 0.5) / (len(rows) + 1)
-        model.centre, model.spread, model.weights = [0.0] * width, [1.0] * width, [float(np.log(share / (1 - share)))] + [0.0] * width
+        # Nothing tells the classes apart: no text is called toxic.
+        model.centre, model.spread, model.weights = [0.0] * width, [1.0] * width, [-40.0] + [0.0] * width
         return model
     best = None
     trial = [i for i in range(len(held)) if y[i] or i % 3 == 0]

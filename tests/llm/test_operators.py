@@ -159,6 +159,15 @@ def test_toxicity_without_both_classes(spark):
     assert toxicity_scores(spark.createDataFrame([(1, "x")], "doc_id long, text string"), model).first().toxicity < 0.5
 
 
+@pytest.mark.parametrize("labelled", [[], [(1, 1)], [(1, 1), (3, 0)]])
+def test_documents_stay_without_labels_of_both_classes(spark, tmp_path, labelled):
+    import corpus_pipeline
+
+    spark.createDataFrame(labelled, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame([(i, f"plain words {i}") for i in range(6)] + [(9, None)], "doc_id long, text string")
+    assert corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).count() == 7
+
+
 # 5
 def contamination(docs, items):
     words = lambda x: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered(x))
