@@ -20,6 +20,8 @@ from sparkloom.llm.secrets import find_secrets, redacted
 from sparkloom.llm.toxicity import fit, labelled_sample, toxicity_scores
 
 TOXIC_FROM = 0.3
+#: Jaccard similarity of five-word shingles that links two documents, and bands that lose such a pair once in 150,000.
+SIMILARITY, BANDS, BAND_ROWS = (80, 100), 30, 5
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +32,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the smallest doc_id stays; rows without an id stay."""
-    lost = near_duplicates(docs).where(~F.col("kept")).select("doc_id")
+    lost = near_duplicates(docs, similarity=SIMILARITY, bands=BANDS, band_rows=BAND_ROWS).where(~F.col("kept")).select("doc_id")
     return docs.join(lost, "doc_id", "left_anti").select(docs.columns)
 
 

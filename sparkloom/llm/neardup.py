@@ -115,20 +115,23 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(len(column), -1)
 
 
-def _band_keys(sig: np.ndarray, band: int) -> np.ndarray:
+def _band_keys(sig: np.ndarray, band: int, rows: int) -> np.ndarray:
     """Bucket of each signature; its low 5 bits are the band."""
     acc = np.full(len(sig), band + 1, dtype=U64)
-    for j in range(band * BAND_ROWS, (band + 1) * BAND_ROWS):
+    for j in range(band * rows, (band + 1) * rows):
         acc = mix(acc * U64(0x9E3779B97F4A7C15) + sig[:, j].astype(U64))
     return (acc << U64(5) | U64(band)).astype(np.int64)
 
 
-def _bands(batches):
-    for batch in batches:
-        if batch.num_rows:
-            sig = _matrix(batch.column(1))
-            for band in range(BANDS):
-                yield pa.RecordBatch.from_arrays([pa.array(_band_keys(sig, band)), batch.column(0)], names=["bucket", "rep"])
+def _bands(bands: int, band_rows: int):
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                sig = _matrix(batch.column(1))
+                for band in range(bands):
+                    yield pa.RecordBatch.from_arrays([pa.array(_band_keys(sig, band, band_rows)), batch.column(0)], names=["bucket", "rep"])
+
+    return run
 
 
 def _still_possible(one: np.ndarray, two: np.ndarray, limits: list[tuple[int, int]]) -> np.ndarray:
@@ -151,7 +154,7 @@ def _judge_pairs(limits):
     return run
 
 
-def _judge_blocks(limits, farthest: float):
+def _judge_blocks(limits, farthest: float, band_rows: int):
     """Rows of (bucket, tile, ...) stand together; compares members of different
     components. A pair that shares an earlier band is left to that bucket. Where
     the exact distances of both to the pivot are known, the triangle inequality
@@ -163,7 +166,7 @@ def _judge_blocks(limits, farthest: float):
         side = np.concatenate([r[2] for r in rows])
         sig = np.concatenate([r[3] for r in rows])
         far = np.concatenate([r[4] for r in rows])
-        earlier = [_band_keys(sig, band) for band in range(bucket & 31)]
+        earlier = [_band_keys(sig, band, band_rows) for band in range(bucket & 31)]
         out_a, out_b = [], []
         for i in range(len(ids)):
             others = np.flatnonzero(~(np.abs(far - far[i]) > farthest + 1e-9) & (comp != comp[i]) & ((ids > ids[i]) if (side == 0).all() else ((side == 1) & (side[i] == 0))))
@@ -242,11 +245,14 @@ def near_duplicates(
     shingle_words: int = 5,
     similarity: tuple[int, int] = (85, 100),
     miss: float = 1e-5,
+    bands: int = BANDS,
+    band_rows: int = BAND_ROWS,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each distinct id.
 
     Links documents whose sets of distinct shingles (A-Z lower-cased, words are
-    runs without ASCII white space) have intersection * 100 >= 85 * union;
+    runs without ASCII white space) have intersection * 100 >= 85 * union, or
+    what similarity says;
     component_id is the smallest linked id. A null or wordless text has no
     shingles and is linked with nothing; with fewer words than shingle_words,
     all of them are the one shingle. Repeated rows of one id count once, with
@@ -255,7 +261,11 @@ def near_duplicates(
 
     With 25 bands of 6 rows a pair at exactly 0.85 escapes all buckets once in
     about 140,000; miss bounds the loss by the sequential test at each batch.
+    Another similarity wants bands of its own: 30 of 5 rows at 0.8 lose one in
+    150,000. A bucket's key has room for 32 bands.
     """
+    if not (0 < bands <= 32 and 0 < bands * band_rows <= HASHES):
+        raise ValueError(f"{bands} bands of {band_rows} rows don't fit {HASHES} hashes and 32 bands")
     spark: SparkSession = docs.sparkSession
     bounded_batches(spark)
     scratch = Scratch(spark, "neardup")
@@ -271,7 +281,7 @@ def near_duplicates(
     sigs = described.join(classes.withColumnRenamed("rep", "doc_id"), own, "left_semi").select(F.col("doc_id").alias("rep"), "sig").dropDuplicates(["rep"])
     sigs = scratch.keep(sigs, "sigs")
 
-    buckets = sigs.select("rep", "sig").mapInArrow(_bands, "bucket long, rep long")
+    buckets = sigs.select("rep", "sig").mapInArrow(_bands(bands, band_rows), "bucket long, rep long")
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     shared = scratch.keep(buckets.join(sizes, "bucket"), "shared")
     crowd = shared.groupBy("rep").agg(F.sum("members").alias("crowd"))
@@ -319,7 +329,7 @@ def near_duplicates(
     tiled = spread.join(sigs, "rep").select("bucket", "tile", "rep", "comp", "side", "sig", "far")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tiled = tiled.repartition(tasks, "bucket", "tile").sortWithinPartitions("bucket", "tile")
-    late = tiled.mapInArrow(_judge_blocks(limits, 1 - similarity[0] / similarity[1]), "a long, b long").distinct().join(candidates, ["a", "b"], "left_anti")
+    late = tiled.mapInArrow(_judge_blocks(limits, 1 - similarity[0] / similarity[1], band_rows), "a long, b long").distinct().join(candidates, ["a", "b"], "left_anti")
     more = verified(late, "judged-2").where("linked")
     # Both rounds' links, between components of the first.
     first = labels.select(F.col("node").alias("x"), "component")
