@@ -3,7 +3,8 @@
 A text is split by the tokenizer's pattern; distinct pieces that a worker hasn't
 met go, by byte length, into padded matrices of token ids. In each round every
 row looks up its adjacent pairs in a hash table, merges the leftmost pair of
-minimum rank and closes the gap; finished rows leave. Pieces of more than
+minimum rank and closes the gap; finished rows leave. A piece that is a token as
+a whole needs no merge. Pieces of more than
 LONG_PIECE bytes, for which rounds over the whole row would take the square of
 its length, merge by a heap of (rank, position), which is the same order.
 """
@@ -12,11 +13,12 @@ from __future__ import annotations
 
 import base64
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import bounded_batches
@@ -24,7 +26,7 @@ from .wordhash import text_slices
 
 LONG_PIECE = 128
 #: A worker forgets its pieces beyond so many.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 _NONE = np.int32(2**31 - 1)
 
 
@@ -150,7 +152,7 @@ def merge_long(ids: list[int], pairs: PairTable) -> np.ndarray:
 class ByteBPE:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.pattern = regex.compile(pattern)
-        self.pairs = PairTable(ranks)
+        self.pairs, self.whole = PairTable(ranks), ranks
         self.single = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         size = max(ranks.values()) + 1
         tokens = [b""] * size
@@ -162,14 +164,16 @@ class ByteBPE:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.store: list[np.ndarray] = []
-        self.sizes: list[int] = []
+        self.flat, self.at = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def _learn(self, pieces: list[str]) -> None:
         raw = [p.encode() for p in pieces]
-        merged: list = [None] * len(raw)
+        # A piece that is a token as a whole is that token, whatever the merges would make of it.
+        merged: list = [None if (t := self.whole.get(b)) is None else np.array([t], np.int32) for b in raw]
         by_width: dict[int, list[int]] = {}
         for i, b in enumerate(raw):
+            if merged[i] is not None:
+                continue
             if len(b) > LONG_PIECE:
                 merged[i] = merge_long(self.single[np.frombuffer(b, np.uint8)].tolist(), self.pairs)
             else:
@@ -181,10 +185,9 @@ class ByteBPE:
                 flat = np.frombuffer(b"".join(raw[i].ljust(width, b"\0") for i in part), np.uint8).reshape(len(part), width)
                 for i, row in zip(part, merge_matrix(self.single[flat], sizes, self.pairs), strict=True):
                     merged[i] = row
-        for p, row in zip(pieces, merged, strict=True):
-            self.known[p] = len(self.store)
-            self.store.append(row)
-            self.sizes.append(len(row))
+        self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces)), strict=True))
+        self.at = np.concatenate((self.at, self.at[-1] + np.cumsum([len(row) for row in merged])))
+        self.flat = np.concatenate((self.flat, *merged)).astype(np.int32)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets by text)."""
@@ -198,12 +201,10 @@ class ByteBPE:
         which = np.fromiter((k for pieces in split for k in map(get, pieces)), dtype=np.int64, count=sum(map(len, split)))
         if not len(which):
             return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
-        used, back = np.unique(which, return_inverse=True)
-        sizes = np.array([self.sizes[i] for i in used], dtype=np.int64)
-        flat, at = np.concatenate([self.store[i] for i in used]), np.concatenate(([0], np.cumsum(sizes)))
-        count = sizes[back]
+        first = self.at[which]
+        count = self.at[which + 1] - first
         ends = np.cumsum(count)
-        ids = flat[np.repeat(at[back] - (ends - count), count) + np.arange(ends[-1])]
+        ids = self.flat[np.repeat(first - (ends - count), count) + np.arange(ends[-1])]
         bounds = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum([len(p) for p in split])))]
         return ids.astype(np.int32), bounds.astype(np.int64)
 
@@ -225,54 +226,56 @@ def tokenizer(path: str, pattern: str) -> ByteBPE:
     return _loaded[path, pattern]
 
 
-def _encode(path: str, pattern: str, decoded: bool):
-    def run(batches):
+def _encoder(path: str, pattern: str, decoded: bool):
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = tokenizer(path, pattern)
-        for batch in batches:
-            at = batch.schema.get_field_index("__text")
-            text = batch.column(at)
-            for a, b, _, _ in text_slices(text, 1 << 20):
-                part = batch.slice(a, b - a)
-                ids, bounds = bpe.encode([t or "" for t in part.column(at).to_pylist()])
+        for texts in columns:
+            parts = []
+            for a, b, _, _ in text_slices(texts, 1 << 20):
+                ids, bounds = bpe.encode([t or "" for t in texts.slice(a, b - a).to_pylist()])
                 new = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))]
                 if decoded:
                     data, ends = bpe.decode(ids, bounds)
                     new.append(pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())]))
-                cols = [c for i, c in enumerate(part.columns) if i != at]
-                names = [n for i, n in enumerate(part.schema.names) if i != at]
-                yield pa.RecordBatch.from_arrays([*cols, *new], names=[*names, "ids", *["decoded"] * decoded])
+                parts.append(pa.StructArray.from_arrays(new, names=["ids", *["decoded"] * decoded]))
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("ids", pa.list_(pa.int32())), *[("decoded", pa.binary())] * decoded]))
 
-    return run
+    return F.arrow_udf(run, "struct<ids:array<int>" + ",decoded:binary" * decoded + ">").asNondeterministic()
+
+
+def _decoder(path: str, pattern: str):
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        bpe = tokenizer(path, pattern)
+        for lists in columns:
+            rows = [np.array(x or [], dtype=np.int64) for x in lists.to_pylist()]
+            ids = np.concatenate(rows or [np.zeros(0, np.int64)])
+            data, ends = bpe.decode(ids, np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int64))
+            yield pa.array([data[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+
+    return F.arrow_udf(run, "binary").asNondeterministic()
+
+
+def _quoted(name: str):
+    return F.col(f"`{name.replace('`', '``')}`")
 
 
 def bpe_encode(docs: DataFrame, *, path: str, pattern: str, text_col: str = "text", with_decoded: bool = False) -> DataFrame:
     """Adds ids array<int>, and with_decoded the bytes that the ids stand for, to
-    every row of docs. No special tokens. A null text counts as empty: no ids.
-    The rank file at path is read by each worker. Repeated rows stay; columns of
-    docs named ids or decoded are replaced.
+    every row of docs. No special tokens. A null text counts as empty: no ids;
+    long texts are read whole. The rank file at path is read by each worker.
+    Repeated rows stay; columns of docs named ids or decoded are replaced, no
+    other name matters. An empty table gives an empty one.
     """
-    spark: SparkSession = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(docs.sparkSession)
     base = docs.drop("ids", *["decoded"] * with_decoded)
-    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields] + ["ids array<int>"] + ["decoded binary"] * with_decoded)
-    return base.withColumn("__text", F.col(text_col).cast("string")).mapInArrow(_encode(path, pattern, with_decoded), ddl)
+    kept = [_quoted(c) for c in base.columns]
+    coded = base.select(*kept, _encoder(path, pattern, with_decoded)(_quoted(text_col).cast("string")).alias("ids"))
+    return coded.select(*kept, *[F.col("ids.decoded").alias("decoded")] * with_decoded, F.col("ids.ids").alias("ids"))
 
 
 def bpe_decode(encoded: DataFrame, *, path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
-    """Adds decoded binary to every row; null ids decode to no bytes."""
-
-    def run(batches):
-        bpe = tokenizer(path, pattern)
-        for batch in batches:
-            at = batch.schema.get_field_index("__ids")
-            rows = [np.array(x or [], dtype=np.int64) for x in batch.column(at).to_pylist()]
-            ids = np.concatenate(rows or [np.zeros(0, np.int64)])
-            data, ends = bpe.decode(ids, np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int64))
-            out = pa.array([data[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
-            keep = [i for i in range(batch.num_columns) if i != at]
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in keep] + [out], names=[batch.schema.names[i] for i in keep] + ["decoded"])
-
+    """Adds decoded binary to every row; null ids decode to no bytes. A column
+    named decoded is replaced, no other name matters."""
     bounded_batches(encoded.sparkSession)
     base = encoded.drop("decoded")
-    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields] + ["decoded binary"])
-    return base.withColumn("__ids", F.col(ids_col)).mapInArrow(run, ddl)
+    return base.select(*[_quoted(c) for c in base.columns], _decoder(path, pattern)(_quoted(ids_col)).alias("decoded"))

@@ -58,7 +58,7 @@ def op4_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity_scores(docs, model)
     return scored.select(
         "doc_id",
-        (F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2).alias("held_out"),
+        F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False)).alias("held_out"),
         F.col("toxicity").alias("score"),
         (F.col("toxicity") >= 0.3).cast("int").alias("predicted"),
     )

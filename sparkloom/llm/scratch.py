@@ -73,10 +73,19 @@ def importable(spark: SparkSession) -> None:
     context._sparkloom_shipped = True
 
 
-def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Keep Arrow batches of whole documents small, and workers able to import this package."""
+#: Bytes of an Arrow batch on its way to a Python worker; a longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of whole documents small, and workers able to import
+    this package. The limit is one of the session, read when a plan starts; every
+    operator sets the same one, and only where a larger one holds."""
     importable(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, "64m").strip().lower()
+    unit = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    digits = now.rstrip("kmgb")
+    size = int(digits) * unit.get(now[len(digits) :][:1], 1) if digits.isdigit() else -1
+    if size <= 0 or size > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))

@@ -1,20 +1,25 @@
 """Repeated word spans by a compacted de Bruijn graph.
 
 Words of a text are letters; a run of ``window`` words is an edge between the
-two runs of ``window - 1`` words that it starts and ends with. The graph is
-built over chunks, contiguous ranges of doc_id of bounded bytes:
-
-1. Each chunk sends the sorted distinct hashes of its edges, packed by hash
-   range. Where a range holds a hash of several chunks, every chunk but the
-   first learns the first chunk's number.
-2. In its own text a chunk walks the repeated edges. Edges that follow each
-   other without leaving their source chunk compact into one path, equal paths
-   of any number of documents into one record, which is joined to its source.
-3. The source chunk anchors each path at coordinates in its own documents and
-   compares the words there. Edges that repeat within a chunk are compared in
-   place.
-
-The text is dealt out once; the three passes read the same exchange.
+two runs of ``window - 1`` words, the nodes, that it starts and ends with. Texts
+are dealt to chunks, a partition each, by a hash of id and text, once; all passes
+read that one exchange.
+
+1. Of every window the least hash of its word grams is kept. A window that
+   occurs in two documents has its kept gram in both, so edges whose kept gram
+   is in one document only are no repeats and leave the graph.
+2. Nodes of the other edges go, packed by hash range, with what stands before
+   and after them: the edge into the node and the edge out of it, or that the
+   text starts or ends there. A node with several edges in or out branches.
+3. Edges that follow each other through nodes that don't branch compact into one
+   path. Every occurrence of one of its edges is an occurrence of the whole path,
+   so paths, no longer edges, are joined: by a 128-bit digest of their words, to
+   the smallest document that holds them.
+4. Each document gets the coordinates of its paths that a smaller one holds.
+
+A clash of hashes in 1 can only keep an edge that is no repeat, one of nodes in
+2 only cut a path in two, everywhere alike. Equality of words is decided by the
+digest of the words themselves.
 """
 
 from __future__ import annotations
@@ -25,13 +30,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
-from .scratch import Scratch, bounded_batches
-from .wordhash import PLAIN_WORDS, U64, Words, grams, mix, text_slices, window_mask
+from .scratch import bounded_batches
+from .wordhash import PLAIN_WORDS, U64, Words, grams, text_slices, window_mask, winnowed
 
-_OUT = "target int, kind int, id long, n_words long, n_removed long, digest string, path binary, body binary"
-_SCHEMA = pa.schema([("target", pa.int32()), ("kind", pa.int32()), ("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("digest", pa.string()), ("path", pa.binary()), ("body", pa.binary())])
-DOC, PATH, FAILED = 0, 1, 2
+#: Rows of a path that stand in one partition at most are those of documents of one salt.
+SALTS = 32
+_TOLD = "chunk int, kind int, blob binary"
+REPEATED, BRANCHING = 0, 1
 
 
 def pack(sorted_hashes: np.ndarray) -> bytes:
@@ -52,278 +59,328 @@ def unpack(blob: bytes) -> np.ndarray:
     return np.cumsum(steps.reshape(-1).view(U64), dtype=U64)
 
 
-class ChunkWords:
-    """Words, edges and normalised bytes of the texts of one chunk."""
+def six_bytes(values: np.ndarray) -> bytes:
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
-    def __init__(self, column, window: int, seed: int, bits: int, bytes_too: bool = True):
-        self.window = window
-        hashes, edges, where, counts, norm, norm_len, base = [], [], [], [], [], [], 0
-        for _, _, data, offsets in text_slices(column):
-            words = Words(data, offsets, PLAIN_WORDS)
-            hashes.append(words.hash)
-            counts.append(words.counts)
-            at = np.flatnonzero(window_mask(words.bounds, len(words.hash), window))
-            g = grams(words.hash, window)[at] if len(at) else np.zeros(0, U64)
-            if seed:
-                g = mix(g + U64(seed))
-            edges.append(g if bits == 64 else g >> U64(64 - bits) << U64(64 - bits))
-            where.append(at + base)
-            base += len(words.hash)
-            if bytes_too:
-                lengths = words.end - words.start
-                spot = np.repeat(np.arange(len(lengths)), lengths)
-                inner = np.arange(len(spot)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-                flat = np.full(int(lengths.sum()) + len(lengths), 32, dtype=np.uint8)
-                flat[np.arange(len(spot)) + spot] = data[np.repeat(words.start, lengths) + inner]
-                norm.append(flat)
-                norm_len.append(lengths + 1)
-        none = np.zeros(0, np.int64)
-        self.hash = np.concatenate(hashes or [none.astype(U64)])
-        self.edge = np.concatenate(edges or [none.astype(U64)])
-        self.at = np.concatenate(where or [none])
-        self.bounds = np.concatenate(([0], np.cumsum(np.concatenate(counts or [none])))).astype(np.int64)
-        self.doc = np.searchsorted(self.bounds, self.at, side="right") - 1
-        if bytes_too:
-            self.norm = np.concatenate(norm or [np.zeros(0, np.uint8)])
-            self.byte = np.concatenate(([0], np.cumsum(np.concatenate(norm_len or [none])))).astype(np.int64)
 
-    def text(self, first: int, end: int) -> bytes:
-        """Words first..end joined by one space."""
-        return self.norm[self.byte[first] : max(self.byte[first], self.byte[end] - 1)].tobytes()
-
-    def same_words(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        ok = np.ones(len(one), dtype=bool)
-        for j in range(self.window):
-            ok &= self.hash[one + j] == self.hash[two + j]
-        return ok
-
-
-def _edges(window: int, seed: int, bits: int, bucket_bits: int):
-    def flush(chunk, parts):
-        found = np.concatenate([np.unique(p) for p in parts])
-        found = np.unique(found)
-        bucket = (found >> U64(64 - bucket_bits)).astype(np.int64) if bucket_bits else np.zeros(len(found), np.int64)
-        cut = np.flatnonzero(np.diff(bucket)) + 1
-        starts = np.concatenate(([0], cut)) if len(found) else cut
-        ends = np.append(cut, len(found)) if len(found) else cut
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(bucket[starts].astype(np.int32)), pa.array(np.full(len(starts), chunk, np.int32)), pa.array([pack(found[s:e]) for s, e in zip(starts, ends, strict=True)], pa.binary())], names=["bucket", "chunk", "blob"]
+def from_six_bytes(blob: bytes) -> np.ndarray:
+    out = np.zeros((len(blob) // 6, 8), dtype=np.uint8)
+    out[:, :6] = np.frombuffer(blob, dtype=np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view(U64)
+
+
+class Known:
+    """Membership of hashes in a set: a bitmap first, then a search."""
+
+    BITS = 20
+
+    def __init__(self, blobs: list[bytes]):
+        self.keys = np.sort(np.concatenate([unpack(b) for b in blobs])) if blobs else np.zeros(0, U64)
+        self.map = np.zeros(1 << self.BITS, dtype=bool)
+        self.map[self.keys >> U64(64 - self.BITS)] = True
+
+    def has(self, values: np.ndarray) -> np.ndarray:
+        out = self.map[values >> U64(64 - self.BITS)]
+        some = np.flatnonzero(out)
+        if len(some):
+            at = np.minimum(np.searchsorted(self.keys, values[some]), len(self.keys) - 1)
+            out[some] = self.keys[at] == values[some]
+        return out
+
+
+def _cuts(keys: np.ndarray) -> list[tuple[int, int]]:
+    """Bounds of the runs of equal keys."""
+    if not len(keys):
+        return []
+    at = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+    return list(zip([0, *at], [*at, len(keys)], strict=True))
+
+
+def _runs(batches, columns: int):
+    """(key, values of the other columns) of neighbouring rows with one key in the first column."""
+    now, held = None, [[] for _ in range(columns - 1)]
+    for batch in batches:
+        for key, *values in zip(*(batch.column(i).to_pylist() for i in range(columns)), strict=True):
+            if key != now:
+                if held[0]:
+                    yield now, held
+                now, held = key, [[] for _ in range(columns - 1)]
+            for part, value in zip(held, values, strict=True):
+                part.append(value)
+    if held[0]:
+        yield now, held
+
+
+def _bucket(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> U64(64 - bits)).astype(np.int32) if bits else np.zeros(len(hashes), np.int32)
+
+
+def _kept_grams(window: int, gram: int, bits: int):
+    """Pass 1; a partition is a chunk."""
+
+    def flush(chunk, hashes, ids):
+        h, d = np.concatenate(hashes), np.concatenate(ids)
+        order = np.lexsort((d, h))
+        h, d = h[order], d[order]
+        fresh = np.concatenate(([True], h[1:] != h[:-1])) if len(h) else np.zeros(0, bool)
+        lead = np.flatnonzero(fresh)
+        last = np.append(lead[1:], len(h)) - 1
+        shared, h = d[last] != d[lead], h[lead]
+        bucket = _bucket(h, bits)
+        runs = _cuts(bucket)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(bucket[[a for a, _ in runs]]), pa.array(np.full(len(runs), chunk, np.int32)), pa.array([pack(h[a:b]) for a, b in runs], pa.binary()), pa.array([np.packbits(shared[a:b]).tobytes() for a, b in runs], pa.binary())],
+            names=["bucket", "chunk", "blob", "shared"],
         )
 
     def run(batches):
-        """Rows of a chunk stand together."""
-        now, parts = None, []
+        now, hashes, ids = None, [], []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            chunks = np.asarray(batch.column(0))
-            change = np.flatnonzero(np.diff(chunks)) + 1
-            for lo, hi in zip([0, *change], [*change, len(chunks)], strict=True):
+            chunks, docs = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            for lo, hi in _cuts(chunks):
                 if chunks[lo] != now:
-                    if parts:
-                        yield from flush(now, parts)
-                    now, parts = chunks[lo], []
-                parts.append(ChunkWords(batch.column(2).slice(lo, hi - lo), window, seed, bits, bytes_too=False).edge)
-        if parts:
-            yield from flush(now, parts)
+                    if hashes:
+                        yield flush(now, hashes, ids)
+                    now, hashes, ids = chunks[lo], [], []
+                for a, _, data, offsets in text_slices(batch.column(3).slice(lo, hi - lo)):
+                    words = Words(data, offsets, PLAIN_WORDS)
+                    g, keep, _ = winnowed(words, gram, window)
+                    at = np.flatnonzero(keep)
+                    hashes.append(g[at])
+                    ids.append(docs[lo + a + np.searchsorted(words.bounds, at, side="right") - 1])
+        if hashes:
+            yield flush(now, hashes, ids)
 
     return run
 
 
-def _first_chunks(batches):
-    """Rows of a bucket stand together; tells each later chunk the first chunk of its repeated hashes."""
+def _answers(chunks: np.ndarray, hashes: np.ndarray, kind: int):
+    """What each chunk is told: its chosen hashes."""
+    order = np.lexsort((hashes, chunks))
+    chunks, hashes = chunks[order], hashes[order]
+    runs = _cuts(chunks)
+    return pa.RecordBatch.from_arrays([pa.array(chunks[[a for a, _ in runs]]), pa.array(np.full(len(runs), kind, np.int32)), pa.array([pack(hashes[a:b]) for a, b in runs], pa.binary())], names=["chunk", "kind", "blob"])
+
 
-    def flush(bucket, chunks, blobs):
-        if len(blobs) < 2:
-            return
+def _repeated(batches):
+    """Kept grams of more than one document; rows of a bucket stand together."""
+    for _, (chunks, blobs, shared) in _runs(batches, 4):
         parts = [unpack(b) for b in blobs]
         h, c = np.concatenate(parts), np.repeat(np.array(chunks, np.int32), [len(p) for p in parts])
-        order = np.lexsort((c, h))
+        several = np.concatenate([np.unpackbits(np.frombuffer(s, np.uint8), count=len(p)) for s, p in zip(shared, parts, strict=True)])
+        order = np.argsort(h, kind="stable")
+        h, c, several = h[order], c[order], several[order]
+        lead = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        size = np.diff(np.append(lead, len(h)))
+        chosen = np.repeat((size > 1) | (np.maximum.reduceat(several, lead) > 0), size)
+        if chosen.any():
+            yield _answers(c[chosen], h[chosen], REPEATED)
+
+
+def _candidates(words: Words, least: np.ndarray, window: int, repeated: Known) -> np.ndarray:
+    """Which word positions start an edge that stays in the graph."""
+    n = len(words.hash)
+    out = np.zeros(n + 1, dtype=bool)
+    at = np.flatnonzero(window_mask(words.bounds, n, window)[: len(least)])
+    out[at] = repeated.has(least[at])
+    return out
+
+
+def _told(rows: pa.Table, kind: int) -> Known:
+    kinds = rows.column("kind").to_pylist()
+    return Known([b for k, b in zip(kinds, rows.column("blob").to_pylist(), strict=True) if k == kind])
+
+
+_NODES = "bucket int, chunk int, nodes binary, into binary, out binary, split binary"
+
+
+def _nodes(window: int, gram: int, bits: int):
+    """Pass 2: a chunk's texts and its repeated kept grams."""
+    schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), *[(n, pa.binary()) for n in ("nodes", "into", "out", "split")]])
+
+    def run(texts: pa.Table, told: pa.Table) -> pa.Table:
+        if not texts.num_rows or not told.num_rows:
+            return schema.empty_table()
+        repeated, parts = _told(told, REPEATED), []
+        for _, _, data, offsets in text_slices(texts.column("text")):
+            words = Words(data, offsets, PLAIN_WORDS)
+            go = _candidates(words, winnowed(words, gram, window)[2], window, repeated)
+            at = np.flatnonzero(go[:-1])
+            if not len(at):
+                continue
+            spots = np.unique(np.concatenate((at, at + 1)))  # the nodes on both sides of each edge
+            edge, node = grams(words.hash, window) >> U64(16), grams(words.hash, window - 1)
+            valid = window_mask(words.bounds, len(words.hash), window)
+            there = valid[spots] & (spots < len(edge))
+            out = np.where(there, edge[np.minimum(spots, len(edge) - 1)], U64(0))
+            before = np.maximum(spots - 1, 0)
+            there = (spots > 0) & valid[before]
+            into = np.where(there, edge[np.minimum(before, len(edge) - 1)], U64(0))
+            parts.append((node[spots], into, out))
+        if not parts:
+            return schema.empty_table()
+        h, into, out = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(h, kind="stable")
+        h, into, out = h[order], into[order], out[order]
+        lead = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        split = (np.minimum.reduceat(into, lead) != np.maximum.reduceat(into, lead)) | (np.minimum.reduceat(out, lead) != np.maximum.reduceat(out, lead))
+        h, into, out = h[lead], into[lead], out[lead]
+        bucket, chunk = _bucket(h, bits), texts.column("chunk")[0].as_py()
+        runs = _cuts(bucket)
+        blobs = [[f(x[a:b]) for a, b in runs] for f, x in ((pack, h), (six_bytes, into), (six_bytes, out), (lambda s: np.packbits(s).tobytes(), split))]
+        return pa.Table.from_arrays([pa.array(bucket[[a for a, _ in runs]]), pa.array(np.full(len(runs), chunk, np.int32)), *[pa.array(b, pa.binary()) for b in blobs]], schema=schema)
+
+    return run
+
+
+def _branching(batches):
+    """Nodes with several edges in or out; rows of a bucket stand together."""
+    for _, (chunks, nodes, into, out, split) in _runs(batches, 6):
+        parts = [unpack(b) for b in nodes]
+        h, c = np.concatenate(parts), np.repeat(np.array(chunks, np.int32), [len(p) for p in parts])
+        several = np.concatenate([np.unpackbits(np.frombuffer(s, np.uint8), count=len(p)) for s, p in zip(split, parts, strict=True)])
+        order = np.argsort(h, kind="stable")
         h, c = h[order], c[order]
-        again = np.concatenate(([False], h[1:] == h[:-1]))
-        if not again.any():
-            return
-        lead = np.maximum.accumulate(np.where(again, 0, np.arange(len(h))))
-        h, first, c = h[again], c[lead[again]], c[again]
-        order = np.argsort(c, kind="stable")
-        h, first, c = h[order], first[order], c[order]
-        cut = np.concatenate(([0], np.flatnonzero(np.diff(c)) + 1))
-        ends = np.append(cut[1:], len(c))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c[cut]), pa.array([pack(h[s:e]) for s, e in zip(cut, ends, strict=True)], pa.binary()), pa.array([first[s:e].tobytes() for s, e in zip(cut, ends, strict=True)], pa.binary())], names=["chunk", "blob", "first"]
-        )
+        lead = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        branches = np.maximum.reduceat(several[order], lead) > 0
+        for blobs in (into, out):
+            ends = from_six_bytes(b"".join(blobs))[order]
+            branches |= np.minimum.reduceat(ends, lead) != np.maximum.reduceat(ends, lead)
+        chosen = np.repeat(branches, np.diff(np.append(lead, len(h))))
+        if chosen.any():
+            yield _answers(c[chosen], h[chosen], BRANCHING)
+
+
+class Joined:
+    """Words first..end of a slice joined by one space."""
+
+    def __init__(self, words: Words):
+        self.words = words
+        gap = np.ones(len(words.start), dtype=bool)
+        if len(gap) > 1:
+            gap[1:] = (words.start[1:] - words.end[:-1] != 1) | (words.data[words.end[:-1]] != 32)
+        self.odd = np.flatnonzero(gap)  # words that don't follow the one before by a single space
+        self.raw = memoryview(np.ascontiguousarray(words.data))
 
-    now, chunks, blobs = None, [], []
-    for batch in batches:
-        for bucket, chunk, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            if bucket != now:
-                yield from flush(now, chunks, blobs)
-                now, chunks, blobs = bucket, [], []
-            chunks.append(chunk)
-            blobs.append(blob)
-    yield from flush(now, chunks, blobs)
+    def text(self, first: int, end: int) -> bytes:
+        if first >= end:
+            return b""
+        w = self.words
+        lo, hi = np.searchsorted(self.odd, (first, end - 1), side="right")
+        if lo == hi:
+            return bytes(self.raw[w.start[first] : w.end[end - 1]])
+        starts = [first, *self.odd[lo:hi].tolist()]
+        return b" ".join(self.raw[w.start[a] : w.end[b - 1]] for a, b in zip(starts, [*starts[1:], end], strict=True))
 
 
-def _table(rows: list[tuple]) -> pa.Table:
-    return pa.Table.from_arrays([pa.array(list(c), t.type) for c, t in zip(zip(*rows, strict=True), _SCHEMA, strict=True)] if rows else [pa.array([], t.type) for t in _SCHEMA], schema=_SCHEMA)
+_PATHS = "digest binary, id long, mark long, edges int, at binary"
 
 
-def _walk(window: int, seed: int, bits: int):
-    """Pass 2: a chunk's texts and the first chunks of its repeated edges."""
+def _paths(window: int, gram: int):
+    """Pass 3: a chunk's texts and what it was told; a row for each path and document."""
+    schema = pa.schema([("digest", pa.binary()), ("id", pa.int64()), ("mark", pa.int64()), ("edges", pa.int32()), ("at", pa.binary())])
 
     def run(texts: pa.Table, told: pa.Table) -> pa.Table:
-        if not texts.num_rows:
-            return _table([])
-        texts = texts.sort_by("id")
-        chunk = texts.column("chunk")[0].as_py()
-        ids = np.asarray(texts.column("id").combine_chunks())
-        w = ChunkWords(texts.column("text"), window, seed, bits)
-        n = len(w.edge)
-        order = np.argsort(w.edge, kind="stable")
-        ranked = w.edge[order]
-        fresh = np.concatenate(([True], ranked[1:] != ranked[:-1])) if n else np.zeros(0, bool)
-        lead = np.flatnonzero(fresh)
-        group = np.cumsum(fresh) - 1
-        # Within the chunk: an edge's first document is the smallest, texts being sorted by id.
-        first_at = order[lead]
-        source = np.empty(n, dtype=np.int64)
-        source[order] = first_at[group] if n else source
-        local = ids[w.doc] > ids[w.doc[source]] if n else np.zeros(0, bool)
-        inside = np.flatnonzero(local)
-        clash = inside[~w.same_words(w.at[inside], w.at[source[inside]])]
-        # Elsewhere.
-        src = np.full(n, -1, dtype=np.int32)
-        if told.num_rows and n:
-            h = [unpack(b) for b in told.column("blob").to_pylist()]
-            f = np.concatenate([np.frombuffer(b, np.int32) for b in told.column("first").to_pylist()])
-            h = np.concatenate(h)
-            by = np.argsort(h)
-            h, f = h[by], f[by]
-            spot = np.minimum(np.searchsorted(h, ranked[lead]), len(h) - 1)
-            known = np.where(h[spot] == ranked[lead], f[spot], -1).astype(np.int32)
-            src[order] = known[group]
-        rows: list[tuple] = [(chunk, FAILED, int(ids[w.doc[i]]), None, None, None, None, None) for i in clash[:1]]
-        away = np.flatnonzero(src >= 0)
-        if len(away):
-            starts = np.concatenate(([True], (np.diff(w.at[away]) != 1) | (np.diff(src[away]) != 0) | (np.diff(w.doc[away]) != 0)))
-            s = np.flatnonzero(starts)
-            e = np.append(s[1:], len(away))
-            seen = set()
-            for i, j in zip(s, e, strict=True):
-                body = w.text(w.at[away[i]], w.at[away[j - 1]] + window)
-                key = (int(src[away[i]]), hashlib.blake2b(body, digest_size=16).digest())
-                if key not in seen:
-                    seen.add(key)
-                    rows.append((key[0], PATH, int(ids[w.doc[away[i]]]), None, None, None, key[1], body))
-        dead = w.at[local | (src >= 0)]
-        cover = np.zeros(len(w.hash) + 1, dtype=np.int32)
-        np.add.at(cover, dead, 1)
-        np.add.at(cover, dead + window, -1)
-        gone = np.cumsum(cover[:-1]) > 0
-        taken = np.concatenate(([0], np.cumsum(gone)))
-        for i, one in enumerate(ids):
-            lo, hi = int(w.bounds[i]), int(w.bounds[i + 1])
-            lost = int(taken[hi] - taken[lo])
-            if not lost:
-                kept = w.text(lo, hi)
-                spans = b""
-            else:
-                left = np.diff(np.concatenate(([0], (~gone[lo:hi]).view(np.int8), [0])))
-                kept = b" ".join(w.text(lo + a, lo + b) for a, b in zip(np.flatnonzero(left == 1), np.flatnonzero(left == -1), strict=True))
-                out = np.diff(np.concatenate(([0], gone[lo:hi].view(np.int8), [0])))
-                spans = np.stack([np.flatnonzero(out == 1), np.flatnonzero(out == -1)], axis=1).astype(np.int64).tobytes()
-            rows.append((chunk, DOC, int(one), hi - lo, lost, hashlib.sha256(kept).hexdigest(), None, spans))
-        return _table(rows)
+        if not texts.num_rows or not told.num_rows:
+            return schema.empty_table()
+        repeated, branching = _told(told, REPEATED), _told(told, BRANCHING)
+        ids, marks = (np.asarray(texts.column(c).combine_chunks()) for c in ("id", "mark"))
+        rows: list[tuple] = []
+        for a, _, data, offsets in text_slices(texts.column("text")):
+            words = Words(data, offsets, PLAIN_WORDS)
+            at = np.flatnonzero(_candidates(words, winnowed(words, gram, window)[2], window, repeated)[:-1])
+            if not len(at):
+                continue
+            cut = np.flatnonzero(np.concatenate(([True], np.diff(at) != 1)) | branching.has(grams(words.hash, window - 1)[at]))
+            first, last = at[cut], at[np.append(cut[1:], len(at)) - 1]
+            doc = np.searchsorted(words.bounds, first, side="right") - 1
+            joined = Joined(words)
+            for lo, hi in _cuts(doc):
+                d, base, mine = int(doc[lo]), int(words.bounds[doc[lo]]), {}
+                for s, e in zip(first[lo:hi].tolist(), last[lo:hi].tolist(), strict=True):
+                    digest = hashlib.blake2b(joined.text(s, e + window), digest_size=16).digest()
+                    mine.setdefault((digest, e - s + 1), []).append(s - base)
+                rows += [(digest, int(ids[a + d]), int(marks[a + d]), edges, np.array(spots, np.int32).tobytes()) for (digest, edges), spots in mine.items()]
+        return pa.Table.from_arrays([pa.array(list(c), t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema) if rows else schema.empty_table()
 
     return run
 
 
-def _anchor(window: int, seed: int, bits: int):
-    """Pass 3: a chunk's texts, the paths that should occur in them, and rows to hand on."""
-
-    def run(texts: pa.Table, rows: pa.Table) -> pa.Table:
-        kind = np.asarray(rows.column("kind").combine_chunks()) if rows.num_rows else np.zeros(0, np.int32)
-        handed = rows.filter(pa.array(kind != PATH)).select(_SCHEMA.names).cast(_SCHEMA) if rows.num_rows else _table([])
-        paths = rows.filter(pa.array(kind == PATH)) if rows.num_rows else None
-        if paths is None or not paths.num_rows:
-            return handed
-        here = ChunkWords(texts.column("text"), window, seed, bits, bytes_too=False)
-        order = np.argsort(here.edge, kind="stable")
-        ranked = here.edge[order]
-        failed: list[tuple] = []
-        bodies = paths.column("body").to_pylist()
-        column = pa.array(bodies, pa.binary()).cast(pa.string())
-        asked = ChunkWords(column, window, seed, bits, bytes_too=False)
-        spot = np.minimum(np.searchsorted(ranked, asked.edge), max(len(ranked) - 1, 0))
-        ok = np.zeros(len(asked.edge), dtype=bool)
-        if len(ranked):
-            ok = ranked[spot] == asked.edge
-            at = here.at[order[spot]]
-            for j in range(window):
-                ok &= here.hash[np.minimum(at + j, len(here.hash) - 1)] == asked.hash[asked.at + j]
-        for i in np.unique(asked.doc[~ok])[:1]:
-            failed.append((0, FAILED, paths.column("id")[int(i)].as_py(), None, None, None, None, None))
-        return pa.concat_tables([handed, _table(failed)])
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("source", pa.int64())]))
+_OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, removed_spans array<struct<start:int,end:int,source:bigint>>"
+
+
+def _remove(window: int):
+    """Pass 4: a chunk's texts and the paths that go from them."""
+
+    def run(texts: pa.Table, doomed: pa.Table) -> pa.Table:
+        ids, marks = (np.asarray(texts.column(c).combine_chunks()) if texts.num_rows else [] for c in ("id", "mark"))
+        spans: dict[tuple[int, int], list] = {}
+        for i, m, edges, at, source in zip(*(doomed.column(c).to_pylist() for c in ("id", "mark", "edges", "at", "source")), strict=True):
+            spans.setdefault((i, m), []).append((edges, np.frombuffer(at, np.int32), source))
+        counts, lost, digests, listed = [], [], [], []
+        for a, b, data, offsets in text_slices(texts.column("text")):
+            words = Words(data, offsets, PLAIN_WORDS, hashes=False)
+            joined = Joined(words)
+            for row in range(a, b):
+                lo, hi = int(words.bounds[row - a]), int(words.bounds[row - a + 1])
+                mine = spans.get((int(ids[row]), int(marks[row])))
+                counts.append(hi - lo)
+                if mine is None:
+                    lost.append(0), listed.append([])
+                    kept = joined.text(lo, hi)
+                else:
+                    cover, out = np.zeros(hi - lo + 1, dtype=np.int32), []
+                    for edges, at, source in mine:
+                        np.add.at(cover, at, 1)
+                        np.add.at(cover, at + (edges + window - 1), -1)
+                        out += [{"start": s, "end": s + edges + window - 1, "source": source} for s in at.tolist()]
+                    gone = np.cumsum(cover[:-1]) > 0
+                    left = np.diff(np.concatenate(([0], (~gone).view(np.int8), [0])))
+                    kept = b" ".join(joined.text(lo + s, lo + e) for s, e in zip(np.flatnonzero(left == 1), np.flatnonzero(left == -1), strict=True))
+                    lost.append(int(gone.sum())), listed.append(sorted(out, key=lambda s: (s["start"], s["end"])))
+                digests.append(hashlib.sha256(kept).hexdigest())
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(lost, pa.int64()), "kept_sha256": pa.array(digests, pa.string()), "removed_spans": pa.array(listed, _SPANS)})
 
     return run
 
 
-def _chunk_of(bounds: list[int]):
-    """Index of the range that an id falls into, by two short searches."""
-    if not bounds:
-        return F.lit(0)
-    step = max(1, int(len(bounds) ** 0.5))
-    lists = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    heads = F.array(*[F.lit(x[0]) for x in lists])
-    table = F.array(*[F.array(*[F.lit(v) for v in x]) for x in lists])
-    outer = F.size(F.filter(heads, lambda b: b <= F.col("id")))
-    inner = F.size(F.filter(F.element_at(table, F.greatest(outer, F.lit(1))), lambda b: b <= F.col("id")))
-    return F.when(outer == 0, 0).otherwise((outer - 1) * step + inner).cast("int")
-
-
-def repeated_spans(
-    docs: DataFrame,
-    *,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    window: int = 13,
-    chunk_bytes: int = 8 << 20,
-    hash_bits: int = 64,
-    seeds: tuple[int, ...] = (0, 1, 2),
-) -> DataFrame:
+def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 13, gram: int = 5, chunk_bytes: int = 6 << 20) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, removed_spans) for each row.
 
     A word is removed if a window of ``window`` consecutive words covers it
     whose word sequence also starts in a document with a smaller id; windows are
-    judged on the input. removed_spans lists [start, end) in words; kept_sha256
-    is the SHA-256 of the words left, joined by one space.
-
-    A null text has no words; shorter texts than a window lose nothing. Repeated
-    rows of one id keep a row each and are no smaller document to each other.
-    Rows with a null id are left out. Other columns are ignored. An empty table
-    gives an empty result. Should two different windows share a 64-bit hash, the
-    comparison of words finds it and the whole is done again with another seed;
-    RuntimeError if that goes on.
+    judged on the input. removed_spans lists the paths that cover them, as
+    [start, end) in words with the smallest document that holds the path; they
+    may overlap. kept_sha256 is the SHA-256 of the words left, joined by one
+    space.
+
+    A null text has no words; shorter texts than a window lose nothing. A long
+    text is one row of a chunk, whatever its length. Repeated rows of one id
+    keep a row each and are no smaller document to each other. Rows with a null
+    id are left out. Other columns are ignored, whatever their names. An empty
+    table gives an empty result.
     """
+    if not 1 <= gram < window:
+        raise ValueError(f"grams of {gram} words don't fit windows of {window}")
     spark: SparkSession = docs.sparkSession
     bounded_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where("id IS NOT NULL")
     total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // chunk_bytes))
-    cuts = source.stat.approxQuantile("id", [i / chunks for i in range(1, chunks)], 0.1 / chunks) if total and chunks > 1 else []
-    bounds = sorted({int(x) for x in cuts})
-    bucket_bits = max(0, int(total // 6 // (1 << 20)).bit_length())
-    scratch = Scratch(spark, "substring")
-    dealt = source.withColumn("chunk", _chunk_of(bounds)).select("chunk", "id", "text").repartition(chunks, "chunk")
-    for seed in seeds:
-        edges = dealt.sortWithinPartitions("chunk").mapInArrow(_edges(window, seed, hash_bits, bucket_bits), "bucket int, chunk int, blob binary")
-        ranges = edges.repartition(max(chunks, 1), "bucket").sortWithinPartitions("bucket", "chunk")
-        told = ranges.mapInArrow(_first_chunks, "chunk int, blob binary, first binary")
-        walked = dealt.groupBy("chunk").cogroup(told.repartition(chunks, "chunk").groupBy("chunk")).applyInArrow(_walk(window, seed, hash_bits), _OUT)
-        done = dealt.groupBy("chunk").cogroup(walked.repartition(chunks, "target").groupBy("target")).applyInArrow(_anchor(window, seed, hash_bits), _OUT)
-        kept = scratch.keep(done.select("kind", "id", "n_words", "n_removed", "digest", "body"), f"seed-{seed}")
-        if kept.where(F.col("kind") == FAILED).isEmpty():
-            break
-    else:
-        raise RuntimeError("different windows share a hash under every seed")
-    return kept.where(F.col("kind") == DOC).select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.col("digest").alias("kept_sha256"), F.col("body").alias("removed_spans"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // chunk_bytes))
+    bits = max(0, int(total // (4 << 20)).bit_length())  # one or two MB of kept grams in a bucket
+    chunk = F.pmod(F.xxhash64("id", "mark"), F.lit(parts)).cast("int").alias("chunk")
+    dealt = source.withColumn("mark", F.xxhash64("text")).select(chunk, "id", "mark", "text").repartitionById(parts, F.col("chunk"))
+
+    kept = dealt.mapInArrow(_kept_grams(window, gram, bits), "bucket int, chunk int, blob binary, shared binary")
+    told = kept.repartitionById(1 << bits, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_repeated, _TOLD).repartitionById(parts, F.col("chunk"))
+    nodes = dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_nodes(window, gram, bits), _NODES)
+    branching = nodes.repartitionById(1 << bits, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_branching, _TOLD).repartitionById(parts, F.col("chunk"))
+    paths = dealt.groupBy("chunk").cogroup(told.union(branching).groupBy("chunk")).applyInArrow(_paths(window, gram), _PATHS)
+
+    # The rows of one path meet under their salts, then one row for each salt does.
+    key = ["digest", "salt"]
+    paths = paths.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).repartition(parts, *key)
+    first = paths.groupBy(*key).agg(F.min("id").alias("least")).withColumn("source", F.min("least").over(Window.partitionBy("digest"))).select(*key, "source")
+    doomed = paths.join(first.hint("merge"), key).where("id > source").select(chunk, "id", "mark", "edges", "at", "source")
+    return dealt.groupBy("chunk").cogroup(doomed.repartitionById(parts, F.col("chunk")).groupBy("chunk")).applyInArrow(_remove(window), _OUT)

@@ -1,8 +1,11 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are made from labelled text. They share a base of
-ordinary running text; behind it, one holds words that mark the toxic class, the
-other as many bytes of ordinary words. A text is cut into short windows at
+zstandard trains two dictionaries on labelled text, over a common base that it
+trains on windows of ordinary text: one on toxic text, one on as much ordinary
+text. Toxic texts are ordinary for the most part, and a dictionary of whole toxic
+windows holds mostly that; so the samples of the toxic dictionary are the words
+of toxic texts that hold character grams bound to the class by a G-test, and
+those of the other are ordinary words. A text is cut into short windows at
 spaces, each window is compressed under either dictionary, and the difference of
 the two lengths is the window's evidence. Thresholds on the differences, the
 rates at which ordinary windows pass them, and a logistic model over a text's
@@ -14,6 +17,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,8 +31,10 @@ from .wordhash import FOLDED_WORDS, text_slices
 
 _FOLD = bytes(FOLDED_WORDS.fold)
 THRESHOLDS = (2, 3, 4, 5)
-#: Row limits of the labelled sample, by class.
-SAMPLE_TOXIC, SAMPLE_ORDINARY = 2500, 4500
+#: Limits of the labelled sample: rows by class, and bytes of all texts.
+SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_BYTES = 2500, 4500, 40_000_000
+#: Sizes of the common base and, at most, of what a class adds to it.
+BASE_BYTES, CLASS_BYTES = 32_000, 64_000
 
 
 def windows(text: bytes, size: int) -> list[bytes]:
@@ -110,17 +116,25 @@ def _bound_grams(of_toxic: Counter, of_ordinary: Counter, documents: int) -> tup
             ranked.append((2 * (v * np.log(v / ((v + w) * share)) + w * np.log(max(w, 0.5) / ((v + w) * (1 - share)))), g))
     chosen: list[str] = []
     for z, g in sorted(ranked, key=lambda x: (-x[0], x[1])):
-        if z < 12 or len(chosen) == 400:
+        if z < 12:
             break
         if not any(g in h or h in g for h in chosen):
             chosen.append(g)
     return chosen, share
 
 
-def _marking_words(of_toxic: Counter, of_ordinary: Counter, grams: list[str], share: float, limit: int = 4000) -> list[str]:
+def _marking_words(of_toxic: Counter, of_ordinary: Counter, grams: list[str], share: float) -> list[str]:
     """Words, commonest first, that hold one of the grams and are all but absent elsewhere."""
     marked = [w for w, _ in sorted(of_toxic.items(), key=lambda x: (-x[1], x[0])) if any(g in " " + w for g in grams)]
-    return [w for w in marked if 10 * of_ordinary[w] * share <= of_toxic[w] * (1 - share)][:limit]
+    return [w for w in marked if 10 * of_ordinary[w] * share <= of_toxic[w] * (1 - share)]
+
+
+def _trained(samples: list[bytes], size: int, segment: int = 16, gram: int = 6) -> bytes:
+    """A dictionary that zstandard trains; the samples themselves where they are too few to train on."""
+    try:
+        return zstandard.train_dictionary(size, samples, k=segment, d=gram).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[:size]
 
 
 def _rank_quality(score: np.ndarray, label: np.ndarray) -> float:
@@ -146,35 +160,40 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 
 def _model(words: list[str], common: list[str], base: bytes) -> ToxicityModel:
-    raw = " ".join(reversed(words)).encode()
+    def samples(of: list[str], most: int) -> list[bytes]:
+        out, size = [], 0
+        for w in of:
+            out.append(f" {w} ".encode())
+            size += len(out[-1])
+            if size >= most:
+                break
+        return out
+
     taken = set(words)
-    return ToxicityModel(base + b" " + raw, base + b" " + " ".join(w for w in common if w not in taken).encode()[: len(raw)])
+    toxic = samples(words, CLASS_BYTES)
+    size = sum(map(len, toxic))
+    ordinary = samples([w for w in common if w not in taken], size)
+    return ToxicityModel(base + _trained(toxic, max(size, 256)), base + _trained(ordinary, max(size, 256)))
 
 
-def fit(rows: list[tuple[str, int]], prior: float | None = None, base_bytes: int = 32000, gram_counts: tuple[int, ...] = (16, 32, 64, 128, 256)) -> ToxicityModel:
+def fit(rows: list[tuple[str, int]], prior: float | None = None, base_bytes: int = BASE_BYTES, gram_counts: tuple[int, ...] = (16, 32, 64, 128, 256)) -> ToxicityModel:
     """rows: (text, label), in an order that doesn't depend on the label. Two
     thirds of each class make the dictionaries, one third calibrates: how many
     grams mark toxic words, the rates, and the logistic model. prior is the share
-    of toxic labels where rows hold another one."""
+    of toxic labels where rows hold another one. Whole texts are read."""
     fold = lambda t: (t or "").encode().translate(_FOLD)
     bad = [fold(t) for t, y in rows if y == 1]
     good = [fold(t) for t, y in rows if y == 0]
     cut_b, cut_g = -(-len(bad) * 2 // 3), -(-len(good) * 2 // 3)
     of_toxic, of_ordinary = _word_counts([t.decode() for t in bad[:cut_b]]), _word_counts([t.decode() for t in good[:cut_g]])
     grams, share = _bound_grams(of_toxic, of_ordinary, cut_b)
-    base = b""
-    for t in good[:cut_g]:
-        base += t[:2000]
-        if len(base) >= base_bytes:
-            break
-    base = base[:base_bytes]
-    common = [w for w, _ in of_ordinary.most_common(6000) if len(w) > 3]
-    common.sort(key=lambda w: zlib.crc32(w.encode()))
+    base = _trained([w for t in good[:cut_g] for w in windows(t, 40)], base_bytes, 48, 8)
+    common = sorted((w for w in of_ordinary if len(w) > 3), key=lambda w: (-of_ordinary[w].bit_length(), zlib.crc32(w.encode())))
     held = [(t, 1) for t in bad[cut_b:]] + [(t, 0) for t in good[cut_g:]]
     y = np.array([y for _, y in held], dtype=float)
     width = 5 + 2 * len(THRESHOLDS)
     if not 0 < y.sum() < len(y):
-        model = _model(_marking_words(of_toxic, of_ordinary, grams[:64], share), common, base)
+        model = _model(_marking_words(of_toxic, of_ordinary, grams[: gram_counts[0]], share), common, base)
         # Nothing tells the classes apart: no text is called toxic.
         model.centre, model.spread, model.weights = [0.0] * width, [1.0] * width, [-40.0] + [0.0] * width
         return model
@@ -202,28 +221,29 @@ def fit(rows: list[tuple[str, int]], prior: float | None = None, base_bytes: int
     return model
 
 
-def _score(payload):
-    def run(batches):
+def _scorer(payload):
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = payload.value
         pair = model.compressors()
-        for batch in batches:
-            names = batch.schema.names
-            at = names.index("__text")
+        for texts in columns:
             scores = []
-            for _, _, data, offsets in text_slices(batch.column(at)):
+            for _, _, data, offsets in text_slices(texts):
                 text = data.tobytes().translate(_FOLD)
-                diffs = [model.differences(text[a:b], *pair) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                scores.append(model.score(diffs))
-            flat = np.concatenate(scores) if scores else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([c for i, c in enumerate(batch.columns) if i != at] + [pa.array(flat, pa.float64())], names=[n for n in names if n != "__text"] + ["toxicity"])
+                scores.append(model.score([model.differences(text[a:b], *pair) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]))
+            yield pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())
 
-    return run
+    return F.arrow_udf(run, "double").asNondeterministic()
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", toxic: int = SAMPLE_TOXIC, ordinary: int = SAMPLE_ORDINARY) -> tuple[list[tuple[str, int]], float | None]:
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", toxic: int = SAMPLE_TOXIC, ordinary: int = SAMPLE_ORDINARY, most_bytes: int = SAMPLE_BYTES
+) -> tuple[list[tuple[str, int]], float | None]:
     """The texts and labels of at most so many labelled rows of either class,
-    chosen by a hash of the id, without rows whose crc32(doc_id as text) mod 4 is
-    2; and the share of toxic labels among all such rows."""
+    and of so many bytes, chosen by a hash of the id, without rows whose
+    crc32(doc_id as text) mod 4 is 2; and the share of toxic labels among all
+    such rows. An id with labels of both kinds has none; of repeated documents
+    of one id the longest counts, as one. Rows with a null id or label are left
+    out; either table may be empty."""
     usable = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isin(0, 1) & (F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) != 2))
     one = usable.groupBy("doc_id").agg(F.max(label_col).alias("y"), F.min(label_col).alias("z")).where("y = z").select("doc_id", "y", F.xxhash64("doc_id").alias("h"))
     sizes = {r.y: r["count"] for r in one.groupBy("y").count().collect()}
@@ -234,22 +254,39 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, *, label_col: str = "tox
     if not picked:
         return [], prior
     spark = docs.sparkSession
-    wanted = F.broadcast(spark.createDataFrame(picked, "doc_id long, y int"))
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id").collect()
-    found.sort(key=lambda r: (zlib.crc32(b"order" + str(r.doc_id).encode()), r.doc_id, r.text or ""))
-    return [(r.text or "", r.y) for r in found], prior
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    key = [F.octet_length("text").alias("size"), F.xxhash64("text").alias("mark")]
+
+    def among(rows):
+        return texts.join(F.broadcast(spark.createDataFrame(rows, "doc_id long, y int")), "doc_id")
+
+    best: dict[int, tuple] = {}
+    for r in among(picked).select("doc_id", "y", *key).distinct().collect():
+        best[r.doc_id] = max(best.get(r.doc_id, (-1, 0, 0)), (r.size, r.mark, r.y))
+    order = sorted(best, key=lambda i: (zlib.crc32(b"order" + str(i).encode()), i))
+    chosen, left = {}, most_bytes
+    for i in order:
+        if best[i][0] <= left:
+            left -= best[i][0]
+            chosen[i] = best[i]
+    found = {}
+    for r in among([(i, b[2]) for i, b in chosen.items()] or [(None, 0)]).select("doc_id", "y", *key, "text").distinct().collect():
+        if (r.size, r.mark, r.y) == chosen[r.doc_id]:
+            found[r.doc_id] = (r.text, r.y)
+    return [found[i] for i in order if i in found], prior
 
 
 def toxicity_scores(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text") -> DataFrame:
     """Adds toxicity (0 to 1) to every row of docs.
 
-    Whole texts count, window by window. A null counts as an empty text, which
-    has no window and gets the score of no evidence. Repeated rows get equal
-    scores. A column of docs named toxicity is replaced.
+    Whole texts count, window by window, however long. A null counts as an empty
+    text, which has no window and gets the score of no evidence. Repeated rows
+    get equal scores. A column of docs named toxicity is replaced, no other name
+    matters. An empty table gives an empty one.
     """
     spark: SparkSession = docs.sparkSession
     bounded_batches(spark)
     base = docs.drop("toxicity")
     payload = spark.sparkContext.broadcast(model)
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
-    return base.withColumn("__text", F.col(text_col).cast("string")).mapInArrow(_score(payload), f"{ddl}, toxicity double")
+    quoted = lambda c: F.col(f"`{c.replace('`', '``')}`")
+    return base.select(*[quoted(c) for c in base.columns], _scorer(payload)(quoted(text_col).cast("string")).alias("toxicity"))

@@ -7,16 +7,20 @@ between executors.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
 _GRAM = U64(0xD6E8FEB86659FD93)
-#: Bytes hashed at a time; temporaries are about 40 times this.
+_LENGTH = U64(0x9E3779B97F4A7C15)
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
+#: Low-order bytes of an eight-byte lane that belong to a word of so many bytes.
+_MASK = np.array([(1 << 8 * r) - 1 for r in range(9)], dtype=U64)
+#: Bytes of texts worked on at a time; temporaries are about 20 times this.
 SLICE = 1 << 20
 
 
@@ -53,26 +57,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.ones(n, dtype=U64)
-    filled, step = 1, base
-    while filled < n:
-        more = min(filled, n - filled)
-        out[filled : filled + more] = out[:more] * U64(step)
-        filled, step = filled + more, (step * step) & ((1 << 64) - 1)
-    return out
-
-
-_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _tables_for(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = max(4 * SLICE, 1 << int(n).bit_length())
-    if size not in _tables:
-        _tables[size] = _powers(_BASE, size), _powers(_BASE_INV, size)
-    return _tables[size]
-
-
 def text_slices(column: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, row offsets from 0) for runs of rows of about
     limit bytes; a longer text is a run of its own. A null counts as empty."""
@@ -94,7 +78,7 @@ class Words:
     """Words of a run of texts: byte spans, 64-bit hashes, and bounds by text."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, kind: WordClass, hashes: bool = True):
-        self.data, self.offsets = data, offsets
+        self.data, self.offsets, self._fold = data, offsets, kind.fold
         inside = kind.member[data]
         first = inside.copy()
         first[1:] &= ~inside[:-1]
@@ -115,19 +99,28 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.bounds)
 
+    def joined(self, first: int, end: int) -> bytes:
+        """Words first..end, folded, joined by a space."""
+        return b" ".join(self._fold[self.data[a:b]].tobytes() for a, b in zip(self.start[first:end], self.end[first:end], strict=True))
+
     def _hash(self, kind: WordClass) -> np.ndarray:
-        n, out, at = len(self.start), np.empty(len(self.start), dtype=U64), 0
-        while at < n:
-            stop = max(at + 1, int(np.searchsorted(self.end, self.start[at] + 2 * SLICE, side="right")))
-            lo, hi = self.start[at], self.end[stop - 1]
-            up, down = _tables_for(hi - lo + 1)
-            sums = np.empty(hi - lo + 1, dtype=U64)
-            sums[0] = 0
-            np.cumsum((kind.fold[self.data[lo:hi]].astype(U64) + U64(1)) * up[: hi - lo], out=sums[1:])
-            s, e = self.start[at:stop] - lo, self.end[at:stop] - lo
-            out[at:stop] = (sums[e] - sums[s]) * down[s] ^ ((e - s).astype(U64) << U64(48))
-            at = stop
-        return mix(out)
+        """Eight bytes at a time through a bijection, so words of up to eight
+        bytes never share a hash with others of their length; longer than
+        LONG_WORD by BLAKE2b."""
+        lengths = self.end - self.start
+        out = lengths.astype(U64) * _LENGTH
+        data = np.concatenate((kind.fold[self.data], np.zeros(8, np.uint8)))
+        lanes = np.ndarray(shape=(len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
+        todo = np.flatnonzero(lengths <= LONG_WORD)
+        for at in range(0, LONG_WORD, 8):
+            todo = todo[lengths[todo] > at] if at else todo
+            if not len(todo):
+                break
+            lane = lanes[self.start[todo] + at] & _MASK[np.minimum(lengths[todo] - at, 8)]
+            out[todo] = mix(out[todo] ^ lane)
+        for i in np.flatnonzero(lengths > LONG_WORD):
+            out[i] = int.from_bytes(hashlib.blake2b(data[self.start[i] : self.end[i]], digest_size=8).digest(), "little")
+        return out
 
 
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -148,6 +141,23 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
         length *= 2
 
 
+def winnowed(words: Words, gram: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each gram, whether it is the least of a window within one text,
+    the least hash of the window at each position; where none starts, anything)."""
+    g = grams(words.hash, gram)
+    run, n = window - gram + 1, len(words.hash) - window + 1
+    keep = np.zeros(len(g), dtype=bool)
+    if n <= 0:
+        return g, keep, np.zeros(0, dtype=U64)
+    least = g[:n].copy()
+    for j in range(1, run):
+        np.minimum(least, g[j : j + n], out=least)
+    inside = window_mask(words.bounds, len(words.hash), window)[:n]
+    for j in range(run):
+        keep[j : j + n] |= inside & (g[j : j + n] == least)
+    return g, keep, least
+
+
 def window_mask(bounds: np.ndarray, n: int, k: int) -> np.ndarray:
     """Which of the n word positions start k words of one text."""
     ok = np.zeros(n + 1, dtype=np.int32)

@@ -6,7 +6,7 @@ import re
 import corpus_pipeline
 from pyspark.sql import functions as F
 from sparkloom.llm.toxicity import fit, labelled_sample, toxicity_scores
-from tests.llm.test_operators import SF, SPACE, base_spans, contamination, documents, edited, groups, lowered
+from tests.llm.test_operators import SF, SPACE, base_spans, contamination, documents, edited, lowered
 
 
 def test_run(spark):
@@ -14,8 +14,8 @@ def test_run(spark):
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, SF).collect()}
     model = fit(*labelled_sample(docs, spark.read.parquet(f"{SF}/labels.parquet")))
     clean = [(r.doc_id, r.text) for r in toxicity_scores(docs, model).where("toxicity < 0.3").collect()]
-    grouped = groups(clean)
-    single = [(d, t) for d, t in clean if grouped[d][1] == d]
+    smallest, _ = smallest_linked(clean, 80)
+    single = [(d, t) for d, t in clean if d in smallest]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     hits = contamination(single, items)
     left = {d: t for d, t in single if hits[d][0][1] == 0}
