@@ -16,7 +16,7 @@ from sparkloom.llm.bpe import bpe_encode
 from sparkloom.llm.decontaminate import benchmark_overlaps
 from sparkloom.llm.neardup import near_duplicates
 from sparkloom.llm.scratch import Scratch
-from sparkloom.llm.secrets import find_secrets, redacted
+from sparkloom.llm.secrets import find_secrets
 from sparkloom.llm.toxicity import fit, labelled_sample, toxicity_scores
 
 TOXIC_FROM = 0.3
@@ -25,7 +25,9 @@ SIMILARITY, BANDS, BAND_ROWS = (80, 100), 30, 5
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity is TOXIC_FROM or more go."""
+    """Documents whose toxicity is TOXIC_FROM or more go. Rows with a null text or
+    id are judged like others, repeated rows alike; empty tables and names beside
+    those of documents make no difference."""
     model = fit(*labelled_sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return toxicity_scores(docs, model).where(F.col("toxicity") < TOXIC_FROM).select(docs.columns)
 
@@ -43,7 +45,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay; spans of secrets in their texts are masked, n_chars follows."""
-    found = find_secrets(docs).withColumn("text", redacted("text", "secret_spans"))
+    found = find_secrets(docs, mask="[secret]")
     return found.withColumn("n_chars", F.when(F.size("secret_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
