@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm.bpe import bpe_encode
@@ -24,29 +24,33 @@ TOXIC_FROM = 0.3
 SIMILARITY, BANDS, BAND_ROWS = (80, 100), 30, 5
 
 
+def _own(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is TOXIC_FROM or more go. Rows with a null text or
     id are judged like others, repeated rows alike; empty tables and names beside
     those of documents make no difference."""
     model = fit(*labelled_sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return toxicity_scores(docs, model).where(F.col("toxicity") < TOXIC_FROM).select(docs.columns)
+    return toxicity_scores(docs, model).where(F.col("toxicity") < TOXIC_FROM).select(_own(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the smallest doc_id stays; rows without an id stay."""
     lost = near_duplicates(docs, similarity=SIMILARITY, bands=BANDS, band_rows=BAND_ROWS).where(~F.col("kept")).select("doc_id")
-    return docs.join(lost, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(lost, "doc_id", "left_anti").select(_own(docs))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share a window of words with a benchmark item go."""
-    return benchmark_overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("n_hit = 0").select(docs.columns)
+    return benchmark_overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("n_hit = 0").select(_own(docs))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay; spans of secrets in their texts are masked, n_chars follows."""
     found = find_secrets(docs, mask="[secret]")
-    return found.withColumn("n_chars", F.when(F.size("secret_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    return found.withColumn("n_chars", F.when(F.size("secret_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(_own(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
