@@ -40,7 +40,7 @@ class BenchmarkIndex:
         self.texts: dict[tuple[int, int], bytes] = {}  # words of a window by its length and hash
         for first, end, data, offsets in text_slices(column):
             words = Words(data, offsets, ALNUM_WORDS)
-            g, keep, _ = winnowed(words, gram, window)
+            g, keep = winnowed(words, gram, window)
             fingerprints.append(g[keep])
             full, inside = grams(words.hash, window), window_mask(words.bounds, len(words.hash), window)
             at = np.flatnonzero(inside)
@@ -80,7 +80,7 @@ class BenchmarkIndex:
         out = []
         n = len(words.hash)
         if len(self.fingerprints) and n >= self.window:
-            g, keep, _ = winnowed(words, self.gram, self.window)
+            g, keep = winnowed(words, self.gram, self.window)
             at = np.flatnonzero(keep & self.filter[g >> U64(64 - _BITS)])
             at = at[_find(self.fingerprints, g[at]) >= 0]
             if len(at):
@@ -177,7 +177,7 @@ def _kept(gram: int, window: int, carried: int):
         for batch in batches:
             for a, b, data, offsets in text_slices(batch.column(carried)):
                 words = Words(data, offsets, ALNUM_WORDS)
-                g, keep, _ = winnowed(words, gram, window)
+                g, keep = winnowed(words, gram, window)
                 at = np.flatnonzero(keep)
                 doc = np.searchsorted(words.bounds, at, side="right") - 1
                 pair = np.unique(np.stack([doc.astype(np.uint64), g[at]]), axis=1)

@@ -8,18 +8,20 @@ read that one exchange.
 1. Of every window the least hash of its word grams is kept. A window that
    occurs in two documents has its kept gram in both, so edges whose kept gram
    is in one document only are no repeats and leave the graph.
-2. Nodes of the other edges go, packed by hash range, with what stands before
-   and after them: the edge into the node and the edge out of it, or that the
-   text starts or ends there. A node with several edges in or out branches.
+2. Nodes of the other edges go, packed by hash range, with a signature of what
+   stands before and after them: the edge into the node and the edge out of it,
+   or that the text starts or ends there. A node with several edges in or out
+   has several signatures: it branches.
 3. Edges that follow each other through nodes that don't branch compact into one
    path. Every occurrence of one of its edges is an occurrence of the whole path,
-   so paths, no longer edges, are joined: by a 128-bit digest of their words, to
-   the smallest document that holds them.
-4. Each document gets the coordinates of its paths that a smaller one holds.
+   so paths, no longer edges, are joined: each chunk sends every path once, with
+   a 128-bit digest of its words and the smallest and largest id that hold it.
+4. Each chunk learns which of its paths a smaller document holds, and the words
+   that they cover go.
 
 A clash of hashes in 1 can only keep an edge that is no repeat, one of nodes in
-2 only cut a path in two, everywhere alike. Equality of words is decided by the
-digest of the words themselves.
+2 only cut a path in two, everywhere alike. Between chunks equality of words is
+decided by the digest of the words themselves.
 """
 
 from __future__ import annotations
@@ -33,12 +35,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from .scratch import bounded_batches
-from .wordhash import PLAIN_WORDS, U64, Words, grams, text_slices, window_mask, winnowed
+from .wordhash import PLAIN_WORDS, U64, Words, grams, least_grams, mix, text_slices, window_mask, winnowed
 
-#: Rows of a path that stand in one partition at most are those of documents of one salt.
-SALTS = 32
 _TOLD = "chunk int, kind int, blob binary"
-REPEATED, BRANCHING = 0, 1
+REPEATED, BRANCHING, DOOMED = 0, 1, 2
 
 
 def pack(sorted_hashes: np.ndarray) -> bytes:
@@ -142,9 +142,9 @@ def _kept_grams(window: int, gram: int, bits: int):
                     if hashes:
                         yield flush(now, hashes, ids)
                     now, hashes, ids = chunks[lo], [], []
-                for a, _, data, offsets in text_slices(batch.column(3).slice(lo, hi - lo)):
+                for a, _, data, offsets in text_slices(batch.column(2).slice(lo, hi - lo)):
                     words = Words(data, offsets, PLAIN_WORDS)
-                    g, keep, _ = winnowed(words, gram, window)
+                    g, keep = winnowed(words, gram, window)
                     at = np.flatnonzero(keep)
                     hashes.append(g[at])
                     ids.append(docs[lo + a + np.searchsorted(words.bounds, at, side="right") - 1])
@@ -177,13 +177,11 @@ def _repeated(batches):
             yield _answers(c[chosen], h[chosen], REPEATED)
 
 
-def _candidates(words: Words, least: np.ndarray, window: int, repeated: Known) -> np.ndarray:
-    """Which word positions start an edge that stays in the graph."""
-    n = len(words.hash)
-    out = np.zeros(n + 1, dtype=bool)
-    at = np.flatnonzero(window_mask(words.bounds, n, window)[: len(least)])
-    out[at] = repeated.has(least[at])
-    return out
+def _candidates(words: Words, gram: int, window: int, repeated: Known) -> np.ndarray:
+    """Word positions that start an edge that stays in the graph."""
+    least = least_grams(words, gram, window)[1]
+    at = np.flatnonzero(window_mask(words.bounds, len(words.hash), window)[: len(least)])
+    return at[repeated.has(least[at])]
 
 
 def _told(rows: pa.Table, kind: int) -> Known:
@@ -191,12 +189,12 @@ def _told(rows: pa.Table, kind: int) -> Known:
     return Known([b for k, b in zip(kinds, rows.column("blob").to_pylist(), strict=True) if k == kind])
 
 
-_NODES = "bucket int, chunk int, nodes binary, into binary, out binary, split binary"
+_NODES = "bucket int, chunk int, nodes binary, signatures binary, split binary"
 
 
 def _nodes(window: int, gram: int, bits: int):
     """Pass 2: a chunk's texts and its repeated kept grams."""
-    schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), *[(n, pa.binary()) for n in ("nodes", "into", "out", "split")]])
+    schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), *[(n, pa.binary()) for n in ("nodes", "signatures", "split")]])
 
     def run(texts: pa.Table, told: pa.Table) -> pa.Table:
         if not texts.num_rows or not told.num_rows:
@@ -204,48 +202,42 @@ def _nodes(window: int, gram: int, bits: int):
         repeated, parts = _told(told, REPEATED), []
         for _, _, data, offsets in text_slices(texts.column("text")):
             words = Words(data, offsets, PLAIN_WORDS)
-            go = _candidates(words, winnowed(words, gram, window)[2], window, repeated)
-            at = np.flatnonzero(go[:-1])
+            at = _candidates(words, gram, window, repeated)
             if not len(at):
                 continue
             spots = np.unique(np.concatenate((at, at + 1)))  # the nodes on both sides of each edge
-            edge, node = grams(words.hash, window) >> U64(16), grams(words.hash, window - 1)
+            edge, node = grams(words.hash, window), grams(words.hash, window - 1)
             valid = window_mask(words.bounds, len(words.hash), window)
-            there = valid[spots] & (spots < len(edge))
-            out = np.where(there, edge[np.minimum(spots, len(edge) - 1)], U64(0))
+            out = np.where(valid[spots], edge[np.minimum(spots, len(edge) - 1)], U64(0))
             before = np.maximum(spots - 1, 0)
-            there = (spots > 0) & valid[before]
-            into = np.where(there, edge[np.minimum(before, len(edge) - 1)], U64(0))
-            parts.append((node[spots], into, out))
+            into = np.where((spots > 0) & valid[before], edge[np.minimum(before, len(edge) - 1)], U64(0))
+            parts.append((node[spots], mix(mix(into + U64(1)) ^ out) >> U64(16)))
         if not parts:
             return schema.empty_table()
-        h, into, out = (np.concatenate(x) for x in zip(*parts, strict=True))
+        h, signature = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(h, kind="stable")
-        h, into, out = h[order], into[order], out[order]
+        h, signature = h[order], signature[order]
         lead = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        split = (np.minimum.reduceat(into, lead) != np.maximum.reduceat(into, lead)) | (np.minimum.reduceat(out, lead) != np.maximum.reduceat(out, lead))
-        h, into, out = h[lead], into[lead], out[lead]
+        split = np.minimum.reduceat(signature, lead) != np.maximum.reduceat(signature, lead)
+        h, signature = h[lead], signature[lead]
         bucket, chunk = _bucket(h, bits), texts.column("chunk")[0].as_py()
         runs = _cuts(bucket)
-        blobs = [[f(x[a:b]) for a, b in runs] for f, x in ((pack, h), (six_bytes, into), (six_bytes, out), (lambda s: np.packbits(s).tobytes(), split))]
+        blobs = [[f(x[a:b]) for a, b in runs] for f, x in ((pack, h), (six_bytes, signature), (lambda s: np.packbits(s).tobytes(), split))]
         return pa.Table.from_arrays([pa.array(bucket[[a for a, _ in runs]]), pa.array(np.full(len(runs), chunk, np.int32)), *[pa.array(b, pa.binary()) for b in blobs]], schema=schema)
 
     return run
 
 
 def _branching(batches):
-    """Nodes with several edges in or out; rows of a bucket stand together."""
-    for _, (chunks, nodes, into, out, split) in _runs(batches, 6):
+    """Nodes with several signatures; rows of a bucket stand together."""
+    for _, (chunks, nodes, signatures, split) in _runs(batches, 5):
         parts = [unpack(b) for b in nodes]
         h, c = np.concatenate(parts), np.repeat(np.array(chunks, np.int32), [len(p) for p in parts])
         several = np.concatenate([np.unpackbits(np.frombuffer(s, np.uint8), count=len(p)) for s, p in zip(split, parts, strict=True)])
         order = np.argsort(h, kind="stable")
-        h, c = h[order], c[order]
+        h, c, signature = h[order], c[order], from_six_bytes(b"".join(signatures))[order]
         lead = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        branches = np.maximum.reduceat(several[order], lead) > 0
-        for blobs in (into, out):
-            ends = from_six_bytes(b"".join(blobs))[order]
-            branches |= np.minimum.reduceat(ends, lead) != np.maximum.reduceat(ends, lead)
+        branches = (np.maximum.reduceat(several[order], lead) > 0) | (np.minimum.reduceat(signature, lead) != np.maximum.reduceat(signature, lead))
         chosen = np.repeat(branches, np.diff(np.append(lead, len(h))))
         if chosen.any():
             yield _answers(c[chosen], h[chosen], BRANCHING)
@@ -273,74 +265,93 @@ class Joined:
         return b" ".join(self.raw[w.start[a] : w.end[b - 1]] for a, b in zip(starts, [*starts[1:], end], strict=True))
 
 
-_PATHS = "digest binary, id long, mark long, edges int, at binary"
+def _compacted(words: Words, gram: int, window: int, repeated: Known, branching: Known) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first edge, last edge, key) of each path, in order; equal paths of a chunk have one key."""
+    at = _candidates(words, gram, window, repeated)
+    if not len(at):
+        return at, at, np.zeros(0, U64)
+    cut = np.flatnonzero(np.concatenate(([True], np.diff(at) != 1)) | branching.has(grams(words.hash, window - 1)[at]))
+    first, last = at[cut], at[np.append(cut[1:], len(at)) - 1]
+    edge = grams(words.hash, window)
+    return first, last, mix(edge[first] + mix(edge[last] ^ (last - first).astype(U64)))
+
+
+_PATHS = "digest binary, chunk int, key long, least long, most long"
 
 
 def _paths(window: int, gram: int):
-    """Pass 3: a chunk's texts and what it was told; a row for each path and document."""
-    schema = pa.schema([("digest", pa.binary()), ("id", pa.int64()), ("mark", pa.int64()), ("edges", pa.int32()), ("at", pa.binary())])
+    """Pass 3: a chunk's texts and what it was told; each of its paths once."""
+    schema = pa.schema([("digest", pa.binary()), ("chunk", pa.int32()), *[(n, pa.int64()) for n in ("key", "least", "most")]])
 
     def run(texts: pa.Table, told: pa.Table) -> pa.Table:
         if not texts.num_rows or not told.num_rows:
             return schema.empty_table()
         repeated, branching = _told(told, REPEATED), _told(told, BRANCHING)
-        ids, marks = (np.asarray(texts.column(c).combine_chunks()) for c in ("id", "mark"))
-        rows: list[tuple] = []
+        ids, parts, slices = np.asarray(texts.column("id").combine_chunks()), [], []
         for a, _, data, offsets in text_slices(texts.column("text")):
             words = Words(data, offsets, PLAIN_WORDS)
-            at = np.flatnonzero(_candidates(words, winnowed(words, gram, window)[2], window, repeated)[:-1])
-            if not len(at):
-                continue
-            cut = np.flatnonzero(np.concatenate(([True], np.diff(at) != 1)) | branching.has(grams(words.hash, window - 1)[at]))
-            first, last = at[cut], at[np.append(cut[1:], len(at)) - 1]
-            doc = np.searchsorted(words.bounds, first, side="right") - 1
-            joined = Joined(words)
-            for lo, hi in _cuts(doc):
-                d, base, mine = int(doc[lo]), int(words.bounds[doc[lo]]), {}
-                for s, e in zip(first[lo:hi].tolist(), last[lo:hi].tolist(), strict=True):
-                    digest = hashlib.blake2b(joined.text(s, e + window), digest_size=16).digest()
-                    mine.setdefault((digest, e - s + 1), []).append(s - base)
-                rows += [(digest, int(ids[a + d]), int(marks[a + d]), edges, np.array(spots, np.int32).tobytes()) for (digest, edges), spots in mine.items()]
-        return pa.Table.from_arrays([pa.array(list(c), t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema) if rows else schema.empty_table()
+            first, last, key = _compacted(words, gram, window, repeated, branching)
+            parts.append((key, first, last, ids[a + np.searchsorted(words.bounds, first, side="right") - 1], np.full(len(key), len(slices))))
+            slices.append(Joined(words))
+        key, first, last, doc, of = (np.concatenate(x) for x in zip(*parts, strict=True))
+        if not len(key):
+            return schema.empty_table()
+        order = np.argsort(key, kind="stable")
+        lead = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
+        least, most, one = np.minimum.reduceat(doc[order], lead), np.maximum.reduceat(doc[order], lead), order[lead]
+        digests = [hashlib.blake2b(slices[n].text(s, e + window), digest_size=16).digest() for n, s, e in zip(of[one].tolist(), first[one].tolist(), last[one].tolist(), strict=True)]
+        chunk = texts.column("chunk")[0].as_py()
+        return pa.Table.from_arrays([pa.array(digests, pa.binary()), pa.array(np.full(len(one), chunk, np.int32)), pa.array(key[one].view(np.int64)), pa.array(least), pa.array(most)], schema=schema)
 
     return run
 
 
-_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("source", pa.int64())]))
 _OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, removed_spans array<struct<start:int,end:int,source:bigint>>"
 
 
-def _remove(window: int):
-    """Pass 4: a chunk's texts and the paths that go from them."""
+def _remove(window: int, gram: int):
+    """Pass 4: a chunk's texts, and the keys of the paths that a smaller document holds."""
 
-    def run(texts: pa.Table, doomed: pa.Table) -> pa.Table:
-        ids, marks = (np.asarray(texts.column(c).combine_chunks()) if texts.num_rows else [] for c in ("id", "mark"))
-        spans: dict[tuple[int, int], list] = {}
-        for i, m, edges, at, source in zip(*(doomed.column(c).to_pylist() for c in ("id", "mark", "edges", "at", "source")), strict=True):
-            spans.setdefault((i, m), []).append((edges, np.frombuffer(at, np.int32), source))
+    def run(texts: pa.Table, told: pa.Table) -> pa.Table:
+        ids = np.asarray(texts.column("id").combine_chunks()) if texts.num_rows else np.zeros(0, np.int64)
+        kinds = np.asarray(told.column("kind").combine_chunks()) if told.num_rows else np.zeros(0, np.int32)
+        doomed = told.filter(pa.array(kinds == DOOMED)) if told.num_rows else told
+        keys = np.asarray(doomed.column("key").combine_chunks()).view(U64) if doomed.num_rows else np.zeros(0, U64)
+        order = np.argsort(keys)
+        keys = keys[order]
+        sources = np.asarray(doomed.column("source").combine_chunks())[order] if doomed.num_rows else np.zeros(0, np.int64)
+        repeated, branching = _told(told, REPEATED), _told(told, BRANCHING)
         counts, lost, digests, listed = [], [], [], []
         for a, b, data, offsets in text_slices(texts.column("text")):
-            words = Words(data, offsets, PLAIN_WORDS, hashes=False)
-            joined = Joined(words)
-            for row in range(a, b):
-                lo, hi = int(words.bounds[row - a]), int(words.bounds[row - a + 1])
-                mine = spans.get((int(ids[row]), int(marks[row])))
-                counts.append(hi - lo)
-                if mine is None:
-                    lost.append(0), listed.append([])
-                    kept = joined.text(lo, hi)
+            words = Words(data, offsets, PLAIN_WORDS, hashes=bool(len(keys)))
+            n, joined = len(words.start), Joined(words)
+            first = last = source = doc = np.zeros(0, np.int64)
+            if len(keys):
+                first, last, key = _compacted(words, gram, window, repeated, branching)
+                spot = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                doc = np.searchsorted(words.bounds, first, side="right") - 1
+                go = (keys[spot] == key) & (ids[a + doc] > sources[spot])
+                first, last, source, doc = first[go], last[go], sources[spot[go]], doc[go]
+            cover = np.zeros(n + 1, dtype=np.int32)
+            np.add.at(cover, first, 1)
+            np.add.at(cover, last + window, -1)
+            gone = np.cumsum(cover[:n]) > 0
+            taken = np.concatenate(([0], np.cumsum(gone)))
+            gone_in = taken[words.bounds[1:]] - taken[words.bounds[:-1]]
+            counts.append(words.counts), lost.append(gone_in)
+            for row, some in enumerate((gone_in > 0).tolist()):
+                lo, hi = int(words.bounds[row]), int(words.bounds[row + 1])
+                if some:
+                    left = np.diff(np.concatenate(([0], (~gone[lo:hi]).view(np.int8), [0])))
+                    kept = b" ".join(joined.text(lo + s, lo + e) for s, e in zip(np.flatnonzero(left == 1).tolist(), np.flatnonzero(left == -1).tolist(), strict=True))
                 else:
-                    cover, out = np.zeros(hi - lo + 1, dtype=np.int32), []
-                    for edges, at, source in mine:
-                        np.add.at(cover, at, 1)
-                        np.add.at(cover, at + (edges + window - 1), -1)
-                        out += [{"start": s, "end": s + edges + window - 1, "source": source} for s in at.tolist()]
-                    gone = np.cumsum(cover[:-1]) > 0
-                    left = np.diff(np.concatenate(([0], (~gone).view(np.int8), [0])))
-                    kept = b" ".join(joined.text(lo + s, lo + e) for s, e in zip(np.flatnonzero(left == 1), np.flatnonzero(left == -1), strict=True))
-                    lost.append(int(gone.sum())), listed.append(sorted(out, key=lambda s: (s["start"], s["end"])))
+                    kept = joined.text(lo, hi)
                 digests.append(hashlib.sha256(kept).hexdigest())
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(lost, pa.int64()), "kept_sha256": pa.array(digests, pa.string()), "removed_spans": pa.array(listed, _SPANS)})
+            base = words.bounds[doc]
+            spans = pa.StructArray.from_arrays([pa.array((first - base).astype(np.int32)), pa.array((last + window - base).astype(np.int32)), pa.array(source)], names=["start", "end", "source"])
+            listed.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(b - a + 1)).astype(np.int32)), spans))
+        none = pa.array([], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("source", pa.int64())])))
+        return pa.table({"doc_id": pa.array(ids), "n_words": pa.array(np.concatenate(counts or [ids]).astype(np.int64)), "n_removed": pa.array(np.concatenate(lost or [ids]).astype(np.int64)), "kept_sha256": pa.array(digests, pa.string()), "removed_spans": pa.concat_arrays(listed) if listed else none})
 
     return run
 
@@ -368,19 +379,21 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where("id IS NOT NULL")
     total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // chunk_bytes))
-    bits = max(0, int(total // (4 << 20)).bit_length())  # one or two MB of kept grams in a bucket
-    chunk = F.pmod(F.xxhash64("id", "mark"), F.lit(parts)).cast("int").alias("chunk")
-    dealt = source.withColumn("mark", F.xxhash64("text")).select(chunk, "id", "mark", "text").repartitionById(parts, F.col("chunk"))
+    bits = max(0, int(total // (8 << 20)).bit_length())  # two or three MB of kept grams in a bucket
+    chunk = F.pmod(F.xxhash64("id", "text"), F.lit(parts)).cast("int").alias("chunk")
+    dealt = source.select(chunk, "id", "text").repartitionById(parts, F.col("chunk"))
+
+    def to_chunks(rows: DataFrame) -> DataFrame:
+        return rows.repartitionById(parts, F.col("chunk"))
 
     kept = dealt.mapInArrow(_kept_grams(window, gram, bits), "bucket int, chunk int, blob binary, shared binary")
-    told = kept.repartitionById(1 << bits, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_repeated, _TOLD).repartitionById(parts, F.col("chunk"))
-    nodes = dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_nodes(window, gram, bits), _NODES)
-    branching = nodes.repartitionById(1 << bits, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_branching, _TOLD).repartitionById(parts, F.col("chunk"))
-    paths = dealt.groupBy("chunk").cogroup(told.union(branching).groupBy("chunk")).applyInArrow(_paths(window, gram), _PATHS)
-
-    # The rows of one path meet under their salts, then one row for each salt does.
-    key = ["digest", "salt"]
-    paths = paths.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).repartition(parts, *key)
-    first = paths.groupBy(*key).agg(F.min("id").alias("least")).withColumn("source", F.min("least").over(Window.partitionBy("digest"))).select(*key, "source")
-    doomed = paths.join(first.hint("merge"), key).where("id > source").select(chunk, "id", "mark", "edges", "at", "source")
-    return dealt.groupBy("chunk").cogroup(doomed.repartitionById(parts, F.col("chunk")).groupBy("chunk")).applyInArrow(_remove(window), _OUT)
+    repeated = kept.repartitionById(1 << bits, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_repeated, _TOLD)
+    nodes = dealt.groupBy("chunk").cogroup(to_chunks(repeated).groupBy("chunk")).applyInArrow(_nodes(window, gram, bits), _NODES)
+    branching = nodes.repartitionById(1 << bits, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_branching, _TOLD)
+    graph = repeated.union(branching)
+    paths = dealt.groupBy("chunk").cogroup(to_chunks(graph).groupBy("chunk")).applyInArrow(_paths(window, gram), _PATHS)
+    # A path has a row for each chunk at most, so a common one is no hot key.
+    sourced = paths.withColumn("source", F.min("least").over(Window.partitionBy("digest"))).where("source < most")
+    doomed = sourced.select("chunk", F.lit(DOOMED).alias("kind"), F.lit(None).cast("binary").alias("blob"), "key", "source")
+    told = graph.withColumns({"key": F.lit(None).cast("long"), "source": F.lit(None).cast("long")}).union(doomed)
+    return dealt.groupBy("chunk").cogroup(to_chunks(told).groupBy("chunk")).applyInArrow(_remove(window, gram), _OUT)

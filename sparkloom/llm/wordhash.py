@@ -141,21 +141,23 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
         length *= 2
 
 
-def winnowed(words: Words, gram: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each gram, whether it is the least of a window within one text,
-    the least hash of the window at each position; where none starts, anything)."""
-    g = grams(words.hash, gram)
-    run, n = window - gram + 1, len(words.hash) - window + 1
-    keep = np.zeros(len(g), dtype=bool)
-    if n <= 0:
-        return g, keep, np.zeros(0, dtype=U64)
-    least = g[:n].copy()
-    for j in range(1, run):
-        np.minimum(least, g[j : j + n], out=least)
+def least_grams(words: Words, gram: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each gram, the least of the window at each position; where none starts, anything)."""
+    g, n = grams(words.hash, gram), len(words.hash) - window + 1
+    least = g[: max(n, 0)].copy()
+    for j in range(1, window - gram + 1):
+        np.minimum(least, g[j : j + len(least)], out=least)
+    return g, least
+
+
+def winnowed(words: Words, gram: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each gram, whether it is the least of a window within one text)."""
+    g, least = least_grams(words, gram, window)
+    keep, n = np.zeros(len(g), dtype=bool), len(least)
     inside = window_mask(words.bounds, len(words.hash), window)[:n]
-    for j in range(run):
+    for j in range(window - gram + 1 if n else 0):
         keep[j : j + n] |= inside & (g[j : j + n] == least)
-    return g, keep, least
+    return g, keep
 
 
 def window_mask(bounds: np.ndarray, n: int, k: int) -> np.ndarray:
