@@ -48,7 +48,7 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = archive_round_trip(_table(spark, sf_dir, "pages"), id_col="page_id", payload_col="html")
+    read = archive_round_trip(_table(spark, sf_dir, "pages"), id_col="page_id", payload_col="html", url_col="url")
     return read.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

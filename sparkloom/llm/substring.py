@@ -111,11 +111,12 @@ def _runs(batches, columns: int):
         yield now, held
 
 
-def _bucket(hashes: np.ndarray, bits: int) -> np.ndarray:
-    return (hashes >> U64(64 - bits)).astype(np.int32) if bits else np.zeros(len(hashes), np.int32)
+def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Number of the equal range of hashes that each lies in."""
+    return ((hashes >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int32)
 
 
-def _kept_grams(window: int, gram: int, bits: int):
+def _kept_grams(window: int, gram: int, buckets: int):
     """Pass 1; a partition is a chunk."""
 
     def flush(chunk, hashes, ids):
@@ -126,7 +127,7 @@ def _kept_grams(window: int, gram: int, bits: int):
         lead = np.flatnonzero(fresh)
         last = np.append(lead[1:], len(h)) - 1
         shared, h = d[last] != d[lead], h[lead]
-        bucket = _bucket(h, bits)
+        bucket = _bucket(h, buckets)
         runs = _cuts(bucket)
         return pa.RecordBatch.from_arrays(
             [pa.array(bucket[[a for a, _ in runs]]), pa.array(np.full(len(runs), chunk, np.int32)), pa.array([pack(h[a:b]) for a, b in runs], pa.binary()), pa.array([np.packbits(shared[a:b]).tobytes() for a, b in runs], pa.binary())],
@@ -192,7 +193,7 @@ def _told(rows: pa.Table, kind: int) -> Known:
 _NODES = "bucket int, chunk int, nodes binary, signatures binary, split binary"
 
 
-def _nodes(window: int, gram: int, bits: int):
+def _nodes(window: int, gram: int, buckets: int):
     """Pass 2: a chunk's texts and its repeated kept grams."""
     schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), *[(n, pa.binary()) for n in ("nodes", "signatures", "split")]])
 
@@ -220,7 +221,7 @@ def _nodes(window: int, gram: int, bits: int):
         lead = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
         split = np.minimum.reduceat(signature, lead) != np.maximum.reduceat(signature, lead)
         h, signature = h[lead], signature[lead]
-        bucket, chunk = _bucket(h, bits), texts.column("chunk")[0].as_py()
+        bucket, chunk = _bucket(h, buckets), texts.column("chunk")[0].as_py()
         runs = _cuts(bucket)
         blobs = [[f(x[a:b]) for a, b in runs] for f, x in ((pack, h), (six_bytes, signature), (lambda s: np.packbits(s).tobytes(), split))]
         return pa.Table.from_arrays([pa.array(bucket[[a for a, _ in runs]]), pa.array(np.full(len(runs), chunk, np.int32)), *[pa.array(b, pa.binary()) for b in blobs]], schema=schema)
@@ -379,17 +380,16 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where("id IS NOT NULL")
     total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // chunk_bytes))
-    bits = max(0, int(total // (8 << 20)).bit_length())  # two or three MB of kept grams in a bucket
     chunk = F.pmod(F.xxhash64("id", "text"), F.lit(parts)).cast("int").alias("chunk")
     dealt = source.select(chunk, "id", "text").repartitionById(parts, F.col("chunk"))
 
     def to_chunks(rows: DataFrame) -> DataFrame:
         return rows.repartitionById(parts, F.col("chunk"))
 
-    kept = dealt.mapInArrow(_kept_grams(window, gram, bits), "bucket int, chunk int, blob binary, shared binary")
-    repeated = kept.repartitionById(1 << bits, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_repeated, _TOLD)
-    nodes = dealt.groupBy("chunk").cogroup(to_chunks(repeated).groupBy("chunk")).applyInArrow(_nodes(window, gram, bits), _NODES)
-    branching = nodes.repartitionById(1 << bits, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_branching, _TOLD)
+    kept = dealt.mapInArrow(_kept_grams(window, gram, parts), "bucket int, chunk int, blob binary, shared binary")
+    repeated = kept.repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_repeated, _TOLD)
+    nodes = dealt.groupBy("chunk").cogroup(to_chunks(repeated).groupBy("chunk")).applyInArrow(_nodes(window, gram, parts), _NODES)
+    branching = nodes.repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_branching, _TOLD)
     graph = repeated.union(branching)
     paths = dealt.groupBy("chunk").cogroup(to_chunks(graph).groupBy("chunk")).applyInArrow(_paths(window, gram), _PATHS)
     # A path has a row for each chunk at most, so a common one is no hot key.

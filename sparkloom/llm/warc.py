@@ -16,9 +16,13 @@ one whole file.
 
 from __future__ import annotations
 
+import hashlib
 import os
+import re
 import uuid
 import zlib
+from datetime import datetime, timezone
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -33,20 +37,41 @@ CHUNK = 1 << 16
 LEAST_REVISIT = 100
 
 
-def record_bytes(record_id: int, payload: bytes, size: int, digest: str, refers_to: int | None) -> bytes:
-    """A response with its payload, or a revisit that names the response."""
+PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
+_URI = "!#$%&'()*+,/:;=?@[]-._~"
+
+
+def record_bytes(record_id: int | None, url: str | None, date: str, payload: bytes, size: int, digest: str, refers_to: int | None) -> bytes:
+    """A response, its HTTP message with the payload, or a revisit that names the
+    response and holds the HTTP head alone."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
+    block = http + payload if refers_to is None else http
     head = [
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:record:{record_id}>",
+        f"WARC-Record-ID: <urn:record:{'none' if record_id is None else record_id}>",
+        f"WARC-Date: {date}",
+        f"WARC-Target-URI: {quote(url, safe=_URI) if url else 'urn:none'}",
         f"WARC-Payload-Digest: sha256:{digest}",
-        f"X-Payload-Bytes: {size}",
-        "Content-Type: text/html; charset=utf-8",
+        "Content-Type: application/http; msgtype=response",
+        f"Content-Length: {len(block)}",
     ]
     if refers_to is not None:
-        head.append(f"WARC-Refers-To: <urn:record:{refers_to}>")
-        payload = b""
-    head.append(f"Content-Length: {len(payload)}")
-    return _VERSION + "\r\n".join(head).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n"
+        head += [f"WARC-Refers-To: <urn:record:{refers_to}>", f"WARC-Profile: {PROFILE}"]
+    return _VERSION + "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def payload_of(record: bytes) -> tuple[dict[str, str], int, bytes]:
+    """(WARC head, payload bytes as the HTTP head says, body) of a whole record.
+    A response whose body has another length or digest than stated is an error."""
+    cut = record.index(b"\r\n\r\n")
+    head = parse_head(record[: cut + 2])
+    http, _, body = record[cut + 4 : -4].partition(b"\r\n\r\n")
+    size = int(re.search(rb"(?mi)^Content-Length: *([0-9]+)", http)[1])
+    if head["warc-type"] == "response":
+        digest = hashlib.sha256(body).hexdigest()
+        if len(body) != size or f"sha256:{digest}" != head["warc-payload-digest"]:
+            raise ValueError(f"{head['warc-record-id']}: the payload of {len(body)} bytes, sha256:{digest}, isn't the {size} bytes, {head['warc-payload-digest']}, that its heads state")
+    return head, size, body
 
 
 def parse_head(head: bytes) -> dict[str, str]:
@@ -117,7 +142,7 @@ class _Replacing:
             self.system.delete_file(self.part)
 
 
-def _write(base: str):
+def _write(base: str, date: str):
     def archive(number: int, rows):
         path = f"{base}/{number:08d}.warc.gz"
         count = 0
@@ -134,18 +159,18 @@ def _write(base: str):
 
         def rows():
             for batch in batches:
-                yield from zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True)
+                yield from zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True)
 
         def referred(stream):
             """A row without a size names the response of the records with its id and digest, which follow it."""
             of, known = None, {}
-            for number, record, payload, size, digest, first in stream:
-                if record != of:
-                    of, known = record, {}
+            for number, record, payload, size, digest, first, url in stream:
+                if (number, record) != of:
+                    of, known = (number, record), {}
                 if size is None:
                     known[digest] = first
                 else:
-                    yield number, record, payload, size, digest, known.get(digest)
+                    yield number, record, payload, size, digest, known.get(digest), url
 
         stream = referred(rows())
         row = next(stream, None)
@@ -154,19 +179,20 @@ def _write(base: str):
 
             def mine(number=number, ahead=ahead):
                 while ahead[0] is not None and ahead[0][0] == number:
-                    yield (ahead[0][1], (ahead[0][2] or "").encode(), ahead[0][3], ahead[0][4], ahead[0][5])
+                    _, record, payload, size, digest, first, url = ahead[0]
+                    yield record, url, date, (payload or "").encode(), size, digest, first
                     ahead[0] = next(stream, None)
 
             path, count = archive(number, mine())
             row = ahead[0]
-            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([count], pa.int64())], names=["path", "records"])
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([path]), pa.array([count], pa.int64())], names=["archive", "path", "records"])
 
     return run
 
 
 def _normalise(batches):
     for batch in batches:
-        for path in batch.column(0).to_pylist():
+        for number, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             target, index = path.replace(".warc.gz", ".members.warc.gz"), []
             system, where = _open(path)
             at = 0
@@ -179,14 +205,16 @@ def _normalise(batches):
                     at += len(member)
             with _Replacing(target + ".idx") as out:
                 out.write("".join(index).encode())
-            yield pa.RecordBatch.from_arrays([pa.array([target]), pa.array([len(index)], pa.int64())], names=["path", "records"])
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([target]), pa.array([len(index)], pa.int64())], names=["archive", "path", "records"])
 
 
+_ARCHIVES = "archive int, path string, records long"
 _READ = "record_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, stored binary"
 
 
 def _number(urn: str | None) -> int | None:
-    return int(urn.strip("<>").rpartition(":")[2]) if urn else None
+    last = urn.strip("<>").rpartition(":")[2] if urn else "none"
+    return None if last == "none" else int(last)
 
 
 def _read(with_payload: bool):
@@ -201,12 +229,10 @@ def _read(with_payload: bool):
                     for urn, at, length in index:
                         f.seek(int(at))
                         record = zlib.decompress(f.read(int(length)), 31)
-                        cut = record.index(b"\r\n\r\n")
-                        head = parse_head(record[: cut + 2])
+                        head, size, body = payload_of(record)
                         if head["warc-record-id"] != urn:
                             raise ValueError(f"{path}: the index names {urn}, the record is {head['warc-record-id']}")
-                        body = record[cut + 4 : -4]
-                        rows.append((_number(urn), int(head["x-payload-bytes"]), head["warc-payload-digest"].partition(":")[2], head["warc-type"], _number(head.get("warc-refers-to")), body if with_payload else None))
+                        rows.append((_number(urn), size, head["warc-payload-digest"].partition(":")[2], head["warc-type"], _number(head.get("warc-refers-to")), body if with_payload else None))
                         if len(rows) == 500:
                             yield _batch(rows)
                             rows = []
@@ -221,49 +247,57 @@ def _batch(rows):
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["record_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "stored"])
 
 
-def write_archives(records: DataFrame, base: str, *, id_col: str, payload_col: str, archive_bytes: int = 16 << 20) -> DataFrame:
-    """Writes monolithic archives below base; (path, records) of each."""
+def write_archives(records: DataFrame, base: str, *, id_col: str, payload_col: str, url_col: str | None = None, date: str | None = None, archive_bytes: int = 16 << 20) -> DataFrame:
+    """Writes monolithic archives below base; (archive, path, records) of each.
+    date is every record's WARC-Date; the time of the call where none is given."""
     spark: SparkSession = records.sparkSession
-    rows = records.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    quoted = lambda c: F.col(f"`{c.replace('`', '``')}`")
+    url = quoted(url_col).cast("string") if url_col else F.lit(None).cast("string")
+    rows = records.select(quoted(id_col).cast("long").alias("id"), F.coalesce(quoted(payload_col).cast("string"), F.lit("")).alias("payload"), url.alias("url"))
     rows = rows.withColumns({"size": F.octet_length("payload").cast("long"), "digest": F.sha2("payload", 256)})
     # Digests that occur again are aggregated before they are shuffled and joined to ids alone;
     # the payloads are shuffled once, to their archives, where a record's reference stands before it.
-    digests = rows.where(F.col("size") >= LEAST_REVISIT).select("id", "digest")
+    digests = rows.where(F.col("id").isNotNull() & (F.col("size") >= LEAST_REVISIT)).select("id", "digest")
     again = digests.groupBy("digest").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("digest", "first_id")
     revisits = digests.join(again, "digest").where("id <> first_id").distinct()
     total = rows.agg(F.sum("size")).first()[0] or 0
     count = max(1, -(-total // archive_bytes), min(int(spark.conf.get("spark.sql.shuffle.partitions")), total >> 20))
     none = lambda kind: F.lit(None).cast(kind)
-    named = revisits.select("id", none("string").alias("payload"), none("long").alias("size"), "digest", F.col("first_id").alias("refers_to"))
+    named = revisits.select("id", none("string").alias("payload"), none("long").alias("size"), "digest", F.col("first_id").alias("refers_to"), none("string").alias("url"))
     both = named.unionByName(rows.withColumn("refers_to", none("long")))
-    dealt = both.select(F.pmod(F.xxhash64("id"), F.lit(count)).cast("int").alias("archive"), "id", "payload", "size", "digest", "refers_to")
-    ordered = dealt.repartition(count, "archive").sortWithinPartitions("archive", "id", F.col("size").asc_nulls_first())
-    return ordered.mapInArrow(_write(base), "path string, records long")
+    # Rows without an id are spread by their digests.
+    number = F.pmod(F.xxhash64(F.coalesce("id", F.xxhash64("digest", "url"))), F.lit(count)).cast("int")
+    dealt = both.select(number.alias("archive"), "id", "payload", "size", "digest", "refers_to", "url")
+    ordered = dealt.repartitionById(count, F.col("archive")).sortWithinPartitions("archive", "id", F.col("size").asc_nulls_first())
+    return ordered.mapInArrow(_write(base, date), _ARCHIVES)
 
 
 def normalise_archives(paths: DataFrame) -> DataFrame:
-    """Rewrites each monolithic archive as members with a sidecar index; (path, records)."""
-    return paths.select("path").mapInArrow(_normalise, "path string, records long")
+    """Rewrites each monolithic archive as members with a sidecar index; (archive, path, records)."""
+    return paths.select("archive", "path").mapInArrow(_normalise, _ARCHIVES)
 
 
 def read_archives(paths: DataFrame, *, with_payload: bool = False) -> DataFrame:
-    """A row per record, read member by member; stored holds a response's payload."""
+    """A row per record, read member by member; stored holds a response's payload.
+    Every payload is hashed; ValueError where it isn't what the record states."""
     return paths.select("path").mapInArrow(_read(with_payload), _READ)
 
 
-def archive_round_trip(records: DataFrame, *, id_col: str, payload_col: str, with_payload: bool = False) -> DataFrame:
+def archive_round_trip(records: DataFrame, *, id_col: str, payload_col: str, url_col: str | None = None, with_payload: bool = False) -> DataFrame:
     """Writes, normalises and reads back a WARC record for each row.
 
-    The payload is the text in UTF-8; null counts as empty. Of records with equal
-    payloads of LEAST_REVISIT bytes or more the smallest id is a response, the
-    others revisit it; shorter ones are all responses. Rows with a null id are
-    left out; repeated rows of one id are records of their own, responses all if
-    theirs is the smallest id. An empty table gives an empty result.
+    The payload is the text in UTF-8, of any length; null counts as empty. Of
+    records with equal payloads of LEAST_REVISIT bytes or more the smallest id is
+    a response, the others revisit it; shorter ones are all responses, and so are
+    rows without an id. Repeated rows of one id are records of their own,
+    responses all if theirs is the smallest id. Columns but the named ones are
+    ignored. An empty table gives an empty result.
     """
     spark: SparkSession = records.sparkSession
     bounded_batches(spark)
     scratch = Scratch(spark, "warc")
-    written = scratch.keep(write_archives(records, f"{scratch.base}/archives", id_col=id_col, payload_col=payload_col), "written")
-    count = max(1, written.count())
-    members = scratch.keep(normalise_archives(written.repartition(count, "path")), "members")
-    return read_archives(members.repartition(count, "path"), with_payload=with_payload)
+    written = scratch.keep(write_archives(records, f"{scratch.base}/archives", id_col=id_col, payload_col=payload_col, url_col=url_col), "written")
+    count = (written.agg(F.max("archive")).first()[0] or 0) + 1
+    members = scratch.keep(normalise_archives(written.repartitionById(count, F.col("archive"))), "members")
+    return read_archives(members.repartitionById(count, F.col("archive")), with_payload=with_payload)

@@ -1,6 +1,7 @@
 """The training-data operators against brute-force versions, and their edge cases."""
 
 import hashlib
+import io
 import random
 import re
 import zlib
@@ -156,8 +157,13 @@ def test_against_sql(spark, name):
 
 
 def test_warc_payloads_and_members(spark):
-    rows = [(4, "x" * 150), (2, "x" * 150), (9, "x" * 150), (5, "short"), (6, "short"), (7, None), (8, "é" * 60), (1, "a\r\n\r\nWARC/1.0\r\n" * 40), (None, "lost")]
-    got = {r.record_id: r for r in archive_round_trip(spark.createDataFrame(rows, "id long, html string"), id_col="id", payload_col="html", with_payload=True).collect()}
+    rows = [(4, "x" * 150), (2, "x" * 150), (9, "x" * 150), (5, "short"), (6, "short"), (7, None), (8, "é" * 60), (1, "a\r\n\r\nWARC/1.0\r\n" * 40), (None, "x" * 150), (20, "y" * 120), (20, "y" * 120), (21, "y" * 120)]
+    df = spark.createDataFrame(rows, "id long, html string").withColumns({"url": F.lit("http://h.example/ä b\r\nX: y"), **{c: F.lit(1) for c in ODD if c != "id"}})
+    back = archive_round_trip(df, id_col="id", payload_col="html", url_col="url", with_payload=True).collect()
+    assert len(back) == len(rows) and [r.record_type for r in back if r.record_id == 20] == ["response"] * 2
+    got = {r.record_id: r for r in back}
+    assert (got.pop(None).record_type, got.pop(20).refers_to, got.pop(21).refers_to) == ("response", None, 20)
+    rows = [r for r in rows if r[0] in got]
     assert {i: (r.record_type, r.refers_to) for i, r in got.items()} == {4: ("revisit", 2), 2: ("response", None), 9: ("revisit", 2), 5: ("response", None), 6: ("response", None), 7: ("response", None), 8: ("response", None), 1: ("response", None)}
     for i, text in rows:
         if i is not None and got[i].record_type == "response":
@@ -165,6 +171,23 @@ def test_warc_payloads_and_members(spark):
     assert archive_round_trip(empty(spark), id_col="doc_id", payload_col="text").isEmpty()
 
 
+def test_warc_records_and_damage():
+    import gzip
+
+    from sparkloom.llm.warc import PROFILE, inflate, payload_of, record_bytes, split_records
+
+    one = record_bytes(7, "http://a.example/", "2020-01-01T00:00:00Z", b"<p>", 3, sha("<p>"), None)
+    two = record_bytes(8, None, "2020-01-01T00:00:00Z", b"", 3, sha("<p>"), 7)
+    records = [r for _, r in split_records(inflate(io.BytesIO(gzip.compress(one + two))))]
+    assert records == [one, two]
+    head, size, body = payload_of(one)
+    assert (size, body, head["warc-target-uri"], head["warc-date"]) == (3, b"<p>", "http://a.example/", "2020-01-01T00:00:00Z") and b"HTTP/1.1 200 OK" in one
+    head, size, body = payload_of(two)
+    assert (size, body, head["warc-profile"], head["warc-refers-to"]) == (3, b"", PROFILE, "<urn:record:7>")
+    with pytest.raises(ValueError):
+        payload_of(one.replace(b"<p>", b"<q>"))
+
+
 # 4
 def test_toxicity_held_out(spark):
     rng = random.Random(3)
