@@ -351,7 +351,16 @@ def test_neighbours(spark):
     assert nearest_neighbours(empty(spark, "vec_id long, embedding array<float>"), empty(spark, "vec_id long, embedding array<float>")).isEmpty()
 
 
-def test_neighbours_of_a_table_in_cluster_order(spark):
+def test_neighbours_that_overflow(spark):
+    big = 1e200
+    rows = [(0, [big, big]), (20, [big, -big]), (1, [big, 0.0]), (2, [1.0, 1.0]), (3, [-big, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["rank"], r.vec_id, str(r.score)) for r in nearest_neighbours(df, df.where("vec_id = 0")).orderBy("rank").collect()]
+    assert got == [(1, 1, "inf"), (2, 2, "2e+200"), (3, 3, "-inf"), (4, 20, "nan")]
+
+
+@pytest.mark.parametrize("leaf_rows", [100_000, 250])
+def test_neighbours_of_a_table_in_cluster_order(spark, leaf_rows):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(200, 64))
     x = np.repeat(centres, 120, axis=0) + 0.6 * rng.normal(size=(24_000, 64))
@@ -359,7 +368,7 @@ def test_neighbours_of_a_table_in_cluster_order(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
     asked = range(0, 24_000, 100)
     got = {q: set() for q in asked}
-    for r in nearest_neighbours(df, df.where("vec_id % 100 = 0"), k=20).collect():
+    for r in nearest_neighbours(df, df.where("vec_id % 100 = 0"), k=20, leaf_rows=leaf_rows).collect():
         got[r.query_id].add(r.vec_id)
     share = []
     for q in asked:
