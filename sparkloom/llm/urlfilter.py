@@ -2,7 +2,8 @@
 
 Everything per URL is a DataFrame expression. The model is fitted to a small
 labelled table: its features come from the same expression, one row per URL, and
-the weights are found by gradient steps over those few rows.
+the weights are found by gradient steps over those few rows. The table that
+comes with it is made by rule from two lists of words, a part of it held out.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,8 +63,13 @@ def matching_rule(rules: list[Rule], host: Column, path: Column) -> Column:
 
 
 def _hashed(mark: str, text: Column, n: int, buckets: int) -> Column:
-    at = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.pmod(F.xxhash64(F.lit(mark), F.substring(text, i, F.lit(n))), F.lit(buckets)).cast("int"))
+    """Buckets of the n-grams; the text is split into characters once, so a long one costs no more by the gram."""
+
+    def grams(chars: Column) -> Column:
+        at = F.when(F.size(chars) >= n, F.sequence(F.lit(0), F.size(chars) - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.pmod(F.xxhash64(F.lit(mark), F.concat(*[F.get(chars, i + j) for j in range(n)])), F.lit(buckets)).cast("int"))
+
+    return F.flatten(F.transform(F.array(F.split(text, "")), grams))
 
 
 def gram_buckets(host: Column, path: Column, buckets: int = BUCKETS) -> Column:
@@ -90,43 +97,47 @@ def fit_urls(labelled: DataFrame, *, url_col: str = "url", label_col: str = "blo
         labelled.where(F.col(label_col).isin(0, 1)).orderBy(url_col, label_col).limit(MOST_LABELS)
         .select(gram_buckets(host_of(url_col), path_of(url_col)).alias("g"), F.col(label_col).cast("int").alias("y")).collect()
     )
-    data = []
-    for r in rows:
-        counts: dict[int, float] = {}
-        for g in r.g:
-            counts[g] = counts.get(g, 0.0) + 1.0
-        scale = 1 / math.sqrt(max(1, len(r.g)))
-        data.append(({g: c * scale for g, c in counts.items()}, r.y))
-    weights, bias = [0.0] * BUCKETS, 0.0
-    for _ in range(steps if data else 0):
-        grad, grad_b = [decay * w for w in weights], 0.0
-        for x, y in data:
-            z = bias + sum(weights[g] * v for g, v in x.items())
-            miss = (1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) - y) / len(data)
-            grad_b += miss
-            for g, v in x.items():
-                grad[g] += miss * v
-        weights = [w - rate * d for w, d in zip(weights, grad, strict=True)]
-        bias -= rate * grad_b
-    return UrlModel(bias, tuple(weights))
-
-
-#: A small labelled table to start from: 1 is to be blocked.
-EXAMPLES = tuple((u, 0) for u in (
-    "https://www.library.example/en/catalogue/history", "https://blog.science.example/posts/2021/galaxies", "http://news.city.example/world/2020/05/report.html",
-    "https://docs.software.example/guide/install", "https://university.example/courses/physics-101", "https://m.recipes.example/soups/lentil", "https://museum.example/de/ausstellung/7",
-    "https://www.weather.example/fr/paris", "http://wiki.example/wiki/Photosynthesis", "https://forum.gardening.example/thread/12345", "https://health.example/en/articles/sleep",
-    "https://travel.example/es/guias/lisboa", "https://open.data.example/dataset/rivers", "https://code.example/project/readme", "https://journal.example/volume/3/issue/2",
-)) + tuple((u, 1) for u in (
-    "http://casino-bonus.example/win/free-spins?ref=1", "http://best-pills-cheap.example/viagra/order", "https://xxx-tube.example/porn/watch/99", "http://free-money-now.example/click/here.php",
-    "http://click.adserver.example/banner/track?id=9", "https://poker-jackpot.example/bet/slots", "http://hot-singles.example/adult/cams", "http://download-crack.example/warez/keygen.exe",
-    "http://seo-backlinks.example/spam/links.html", "https://win-prize.example/lottery/claim", "http://payday-loans.example/cash/fast", "https://escort-girls.example/adult/gallery",
-    "http://replica-watches.example/buy/cheap", "http://torrent-free.example/download/movie-crack", "https://tracker.ads.example/pixel/click.gif",
-))
+    x, y = np.zeros((len(rows), BUCKETS)), np.array([r.y for r in rows], dtype=float)
+    for i, r in enumerate(rows):
+        np.add.at(x[i], r.g, 1 / math.sqrt(max(1, len(r.g))))
+    weights, bias = np.zeros(BUCKETS), 0.0
+    for _ in range(steps if rows else 0):
+        miss = (1 / (1 + np.exp(-np.clip(x @ weights + bias, -30, 30))) - y) / len(rows)
+        weights -= rate * (x.T @ miss + decay * weights)
+        bias -= rate * float(miss.sum())
+    return UrlModel(bias, tuple(weights.tolist()))
+
+
+#: Words that the labelled table puts into hosts and paths.
+WANTED = (
+    "library museum science weather recipes travel history garden music physics university journal news city forum wiki docs guide "
+    "health school village energy river mountain poetry theatre cinema football chess cooking biology chemistry geology language "
+    "dictionary archive gallery opinion report lecture course thesis dataset manual tutorial review interview essay novel painting"
+).split()
+UNWANTED = (
+    "casino bonus poker jackpot slots betting lottery prize winner viagra pills pharmacy cheap replica watches payday loans cash "
+    "xxx porn adult escort singles cams nude sexy warez crack keygen torrent serial hacked cheats spam backlinks clickbait popup "
+    "adserver tracker banner promo affiliate malware phishing miracle detox crypto giveaway freebie"
+).split()
+_HOSTS = ("www.{a}-{b}.example", "{a}.{b}.example", "{a}{b}.example", "m.{a}.example", "{a}-online.example")
+_PATHS = ("/{c}", "/{c}/{d}", "/{d}/{c}.html", "/2021/05/{c}-{d}", "/index.php/{c}/7", "/en/{d}")
+
+
+def labelled_urls(rows_per_class: int = 240) -> list[tuple[str, int, bool]]:
+    """(url, blocked, held out) by rule from the two word lists: every fourth is held out of the fit."""
+    out = []
+    for blocked, words in ((0, WANTED), (1, UNWANTED)):
+        n = len(words)
+        for i in range(rows_per_class):
+            a, b, c, d = (words[(i * step + shift) % n] for step, shift in ((1, 0), (7, 3), (11, 5), (13, 1)))
+            url = f"http{'s' * (i % 2)}://" + _HOSTS[i % len(_HOSTS)].format(a=a, b=b) + _PATHS[i // 2 % len(_PATHS)].format(c=c, d=d)
+            out.append((url, blocked, i % 4 == 3))
+    return out
 
 
 def example_urls(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(u, y) for u, y in EXAMPLES], "url string, blocked int")
+    """The labelled table to start from, without what it holds out."""
+    return spark.createDataFrame([(u, y) for u, y, held in labelled_urls() if not held], "url string, blocked int")
 
 
 def filter_urls(pages: DataFrame, rules: list[Rule], model: UrlModel, *, url_col: str = "url", threshold: float = 0.5) -> DataFrame:
@@ -134,11 +145,16 @@ def filter_urls(pages: DataFrame, rules: list[Rule], model: UrlModel, *, url_col
 
     The longest rule that fits decides; else the model: block where its
     probability is threshold or more. A null URL or one without ``://`` has an
-    empty host and path, fits no rule and gets the model's verdict on those.
-    Columns of pages with these names are replaced; rows stay as they are.
+    empty host and path, fits no rule and gets the model's verdict on those; a
+    long one is read whole. Columns of pages with these names are replaced, no
+    other name matters; rows stay as they are, repeated ones too. An empty table
+    gives an empty one.
     """
+    quoted = lambda c: F.col(f"`{c.replace('`', '``')}`")
     base = pages.drop("host", "path", "rule", "verdict", "block_logit")
-    split = base.withColumns({"host": host_of(url_col), "path": path_of(url_col)})
-    judged = split.withColumns({"__rule": matching_rule(rules, F.col("host"), F.col("path")), "block_logit": model.logit(gram_buckets(F.col("host"), F.col("path")))})
+    kept, url = [quoted(c) for c in base.columns], quoted(url_col) if url_col in base.columns else F.lit(None).cast("string")
+    split = base.select(*kept, host_of(url).alias("host"), path_of(url).alias("path"))
+    fitting = matching_rule(rules, F.col("host"), F.col("path"))
+    judged = split.select(*kept, "host", "path", fitting.alias("rule"), model.logit(gram_buckets(F.col("host"), F.col("path"))).alias("block_logit"))
     own = F.when(F.col("block_logit") >= math.log(threshold / (1 - threshold)), "block").otherwise("allow")
-    return judged.withColumns({"rule": F.col("__rule.rule"), "verdict": F.coalesce("__rule.verdict", own)}).drop("__rule")
+    return judged.select(*kept, "host", "path", F.col("rule.rule").alias("rule"), F.coalesce("rule.verdict", own).alias("verdict"), "block_logit")

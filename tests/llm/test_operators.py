@@ -21,7 +21,7 @@ from sparkloom.llm.scratch import Scratch
 from sparkloom.llm.secrets import find_secrets, name_score, redacted, scan
 from sparkloom.llm.substring import pack, repeated_spans, unpack
 from sparkloom.llm.toxicity import fit, toxicity_scores
-from sparkloom.llm.urlfilter import EXAMPLES, example_urls, filter_urls, fit_urls, parse_rule
+from sparkloom.llm.urlfilter import example_urls, filter_urls, fit_urls, labelled_urls, parse_rule
 from sparkloom.llm.warc import archive_round_trip
 from tests.oracle import connect, difference
 
@@ -139,14 +139,18 @@ def test_url_rules_and_model(spark):
     rules = [parse_rule(r) for r in Q.RULES]
     model = fit_urls(example_urls(spark))
     urls = [None, "", "nope", "://", "http://a.NET", "http://a.net/", "https://x.example.net/en/7?q", "https://example.net/end", "http://m.example.com/de/1#x", "https://org/fr/", "https://a.org/fr", "http://h?x/://y"]
-    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit(0))
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumns({"host": F.lit(0), **{c: F.lit(1) for c in ODD}})
+    assert filter_urls(df.union(df), rules, model).select("__rule", "`a``b`").where("__rule = 1").count() == 2 * len(urls)
+    long_ = filter_urls(spark.createDataFrame([("http://a.net/" + "x" * 50_000,)], "url string"), rules, model).first()
+    assert (long_.rule, len(long_.path)) == ("net/", 50_001)
     got = {r.page_id: (r.host, r.path, r.rule) for r in filter_urls(df, rules, model).collect()}
     assert got == {
         0: ("", "", None), 1: ("", "", None), 2: ("", "", None), 3: ("", "", None), 4: ("a.net", "", None), 5: ("a.net", "/", "net/"), 6: ("x.example.net", "/en/7", "example.net/en/"),
         7: ("example.net", "/end", "net/"), 8: ("m.example.com", "/de/1", "example.com/de/"), 9: ("org", "/fr/", "org/fr/"), 10: ("a.org", "/fr", None), 11: ("h", "", None),
     }
-    fitted = filter_urls(spark.createDataFrame(list(EXAMPLES), "url string, y int"), [], model).where("(verdict = 'block') <> (y = 1)")
-    assert fitted.isEmpty()
+    held = spark.createDataFrame([(u, y) for u, y, out in labelled_urls() if out], "url string, y int")
+    right = filter_urls(held, [], model).where("(verdict = 'block') = (y = 1)").count()
+    assert len({u for u, _, _ in labelled_urls()}) == len(labelled_urls()) and right / held.count() > 0.95
     assert filter_urls(empty(spark, "page_id long, url string"), rules, model).isEmpty()
 
 
