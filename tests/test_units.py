@@ -88,3 +88,14 @@ def test_streams(spark, tmp_path):
     assert max(r.requests for r in spark.table("windows").collect()) == 2
     for q in spark.streams.active:
         q.stop()
+
+
+def test_prompt_echo(spark):
+    from sparkloom.operators.scoring import is_echo, rounded
+
+    rows = [("预算三百的耳机推荐", "预算 300 的耳机推荐一下"), ("预算 300 的耳机！", "预算300的耳机"), ("你说预算300的耳机", "预算300的耳机"), ("推荐索尼这款，音质好", "预算300的耳机"), ("", "x"), ("便宜的蓝牙耳机。学生上课用的", "想买便宜的蓝牙耳机学生上课用的那种可以吗谢谢你啦啦啦啦啦啦啦啦")]
+    got = [r.e for r in spark.createDataFrame(rows, "a string, b string").select(is_echo("a", "b").alias("e")).collect()]
+    assert got == [False, True, True, False, False, True]
+    from pyspark.sql import functions as F
+
+    assert spark.range(1).select(rounded(F.create_map(F.lit("x"), F.lit(0.123456))).alias("m")).first().m == {"x": 0.1235}
