@@ -1,5 +1,6 @@
 """Hand-worked values, dialects, sinks and streams."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import cleaning as C
@@ -99,3 +100,14 @@ def test_prompt_echo(spark):
     from pyspark.sql import functions as F
 
     assert spark.range(1).select(rounded(F.create_map(F.lit("x"), F.lit(0.123456))).alias("m")).first().m == {"x": 0.1235}
+
+
+def test_date_bounds():
+    from datetime import date
+
+    from sparkloom.operators.records import date_bounds
+
+    assert date_bounds("2024-01-02", "2024-01-02") == (date(2024, 1, 2),) * 2
+    for bad in (("2024-1-2", "2024-01-03"), ("2024-01-03", "2024-01-02"), ("x" * 10, "2024-01-02")):
+        with pytest.raises(ValueError):
+            date_bounds(*bad)
