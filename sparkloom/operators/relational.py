@@ -65,8 +65,10 @@ def normalise_orders(raw: DataFrame, products: DataFrame, now: str) -> DataFrame
         "Product_Category": F.coalesce(F.nullif("Product_Category", F.lit("")), "__category", F.lit("")),
         "__ts": F.coalesce(F.try_to_timestamp(F.nullif("Order_DateTime", F.lit(""))), F.try_to_timestamp(F.nullif(F.concat_ws(" ", "Order_Date", "Time"), F.lit(" ")))),
     }).drop("__title", "__category")
-    bad = Window.partitionBy(F.col("__ts").isNull()).orderBy("Order_ID", "Product_ID", "Customer_Id")
-    df = df.withColumn("__ts", F.coalesce("__ts", F.lit(now).cast("timestamp") - F.make_dt_interval(F.lit(0), (F.row_number().over(bad) - 1) * 6)))
+    # Only rows without a time are numbered.
+    place = F.row_number().over(Window.orderBy("Order_ID", "Product_ID", "Customer_Id"))
+    bad = df.where("__ts IS NULL").withColumn("__ts", F.lit(now).cast("timestamp") - F.make_dt_interval(F.lit(0), (place - 1) * 6))
+    df = df.where("__ts IS NOT NULL").unionByName(bad)
     return df.withColumns({"Order_DateTime": F.date_format("__ts", "yyyy-MM-dd HH:mm:ss"), "Order_Date": F.date_format("__ts", "yyyy-MM-dd"), "Time": F.date_format("__ts", "HH:mm:ss")}).drop("__ts")
 
 
@@ -106,13 +108,31 @@ def top_per_category(products: DataFrame, budget: float, count: int) -> DataFram
 
 
 def peers(products: DataFrame, count: int, *targets: str) -> DataFrame:
-    """For each product, others of its category: best rated, then nearest in price."""
-    one = products.select(F.col("Product_ID").alias("target_id"), "Category", F.col("Price").alias("__price"))
+    """For each product, others of its category: best rated, then nearest in price, then the smaller id.
+
+    No pairs of a category are formed. Those rated above its (count + 1)th best are
+    at most count; of those rated like it, the nearest in price stand on both sides
+    of the target in the order of prices, and are joined by their places.
+    """
+    products = products.select("Product_ID", "Category", "Price", "Rating")
+    best = Window.partitionBy("Category").orderBy(F.desc("Rating"), "Product_ID")
+    cut = products.withColumn("n", F.row_number().over(best)).where(F.col("n") <= count + 1).groupBy("Category").agg(F.min("Rating").alias("cut"))
+    graded = products.join(cut, "Category")
+    above = graded.where("Rating > cut").drop("cut")
+    tied = F.col("Rating") == F.col("cut")
+    upto = Window.partitionBy("Category").orderBy("Price").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    one = graded.withColumn("upto", F.count_if(tied).over(upto)).select("Category", F.col("Product_ID").alias("target_id"), F.col("Price").alias("target_price"), "upto")
     if targets:
         one = one.where(F.col("target_id").isin(*targets))
-    both = one.join(products, "Category").where("target_id <> Product_ID").withColumn("gap", F.abs(F.col("Price") - F.col("__price")))
+    ties = graded.where(tied).drop("cut")
+    # Equal prices: the smaller id is the nearer one, on either side.
+    place = lambda order: F.row_number().over(Window.partitionBy("Category").orderBy("Price", order))
+    left, right = ties.withColumn("place", place(F.desc("Product_ID"))), ties.withColumn("place", place(F.asc("Product_ID")))
+    reach = lambda a, b: one.withColumn("place", F.explode(F.sequence(F.col("upto") + a, F.col("upto") + b)))
+    near = reach(-count, 0).join(left, ["Category", "place"]).unionByName(reach(1, count).join(right, ["Category", "place"])).drop("place")
+    both = one.join(above, "Category").unionByName(near).where("target_id <> Product_ID").withColumn("gap", F.abs(F.col("Price") - F.col("target_price")))
     order = Window.partitionBy("target_id").orderBy(F.desc("Rating"), "gap", "Product_ID")
-    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= count).drop("__price")
+    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= count).drop("target_price", "upto")
 
 
 def nearest_alternatives(products: DataFrame, count: int, targets: DataFrame) -> DataFrame:

@@ -84,11 +84,10 @@ def order_product_fill(spark, d):
 @query(
     "join_same_category_peers",
     f"""WITH {CATALOGUE_SQL} SELECT a.Product_ID AS target_id, b.Product_ID, round(abs(b.Price - a.Price), 4) AS gap, row_number() OVER (PARTITION BY a.Product_ID ORDER BY b.Rating DESC, abs(b.Price - a.Price), b.Product_ID) AS rank
-    FROM cat a JOIN cat b ON a.Category = b.Category AND a.Brand = b.Brand AND a.Product_ID <> b.Product_ID QUALIFY rank <= 4""",
+    FROM cat a JOIN cat b ON a.Category = b.Category AND a.Product_ID <> b.Product_ID QUALIFY rank <= 4""",
 )
 def same_category_peers(spark, d):
-    cat = catalogue(spark, d).withColumn("Category", F.concat_ws("|", "Category", "Brand"))
-    return R.peers(cat, 4).select("target_id", "Product_ID", F.round("gap", 4).alias("gap"), "rank")
+    return R.peers(catalogue(spark, d), 4).select("target_id", "Product_ID", F.round("gap", 4).alias("gap"), "rank")
 
 
 @query(
@@ -190,11 +189,11 @@ def history_window(spark, d):
 
 @query(
     "win_rate_limit_60s",
-    """SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3600 SECONDS PRECEDING AND CURRENT ROW) AS recent,
-    count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3600 SECONDS PRECEDING AND CURRENT ROW) > 3 AS limited FROM events""",
+    """SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 60 SECONDS PRECEDING AND CURRENT ROW) AS recent,
+    count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 60 SECONDS PRECEDING AND CURRENT ROW) > 1 AS limited FROM events""",
 )
 def rate_limit(spark, d):
-    return R.rate_limited(table(spark, d, "events"), "user_id", "ts", 3600, 3).select("event_id", "recent", "limited")
+    return R.rate_limited(table(spark, d, "events"), "user_id", "ts", 60, 1).select("event_id", "recent", "limited")
 
 
 @query("ded_exact_keep_first", "SELECT min(doc_id) AS doc_id, source FROM documents GROUP BY source, text")

@@ -98,14 +98,14 @@ def keywords(spark, d):
 _TOKENS = r"list_filter(regexp_extract_all(text, '[\x{4e00}-\x{9fff}]|[\p{Latin}\p{N}ªº]+'), lambda x: length(x) > 1 OR regexp_matches(x, '[\x{4e00}-\x{9fff}]'))"
 
 
-@query("ir_tokenize", f"SELECT item_id, array_to_string({_TOKENS}, ' ') AS tokens FROM benchmark")
+@query("ir_tokenize", f"SELECT doc_id, array_to_string({_TOKENS}, ' ') AS tokens FROM documents")
 def tokenize(spark, d):
-    return table(spark, d, "benchmark").select("item_id", F.array_join(X.tokens("text"), " ").alias("tokens"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(X.tokens("text"), " ").alias("tokens"))
 
 
-@query("ir_postings", f"WITH e AS (SELECT item_id AS id, unnest({_TOKENS}) AS token, len({_TOKENS}) AS length FROM benchmark) SELECT id, token, count(*) AS tf, min(length) AS length FROM e GROUP BY id, token")
+@query("ir_postings", f"WITH e AS (SELECT doc_id AS id, unnest({_TOKENS}) AS token, len({_TOKENS}) AS length FROM documents) SELECT id, token, count(*) AS tf, min(length) AS length FROM e GROUP BY id, token")
 def postings(spark, d):
-    return I.postings(table(spark, d, "benchmark"), "item_id")
+    return I.postings(table(spark, d, "documents"))
 
 
 _BM25 = f"""
@@ -132,19 +132,23 @@ def bm25_topk(spark, d):
 
 
 _DENSE = """v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
-ds AS (SELECT q.vec_id AS qid, v.vec_id AS doc_id, round(list_inner_product(v.e, q.e), 6) AS score FROM v, v q WHERE q.vec_id < 40 AND q.vec_id <> v.vec_id),
+ds AS (SELECT q.vec_id AS qid, v.vec_id AS doc_id, round(list_inner_product(v.e, q.e), 6) AS score FROM v, v q WHERE {asked} AND q.vec_id <> v.vec_id),
 dn AS (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM ds QUALIFY rank <= 20)"""
 
 
-def _dense(spark, d, k=20):
+#: Queries by vector: every hundredth one; in fusion each question has the vector of its number.
+_EVERY, _QUESTIONS = _DENSE.format(asked="q.vec_id % 100 = 0"), _DENSE.format(asked="q.vec_id IN (SELECT item_id FROM benchmark)")
+
+
+def _dense(spark, d, k=20, questions=True):
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    asked = vectors.where("doc_id < 40").select(F.col("doc_id").alias("qid"), F.col("embedding").alias("query"))
-    return I.dense(vectors, asked, k)
+    asked = vectors.join(_questions(spark, d).select(F.col("qid").alias("doc_id")), "doc_id", "left_semi") if questions else vectors.where("doc_id % 100 = 0")
+    return I.dense(vectors, asked.select(F.col("doc_id").alias("qid"), F.col("embedding").alias("query")), k)
 
 
-@query("ir_dense_topk", f"WITH {_DENSE} SELECT qid, doc_id, score, rank FROM dn")
+@query("ir_dense_topk", f"WITH {_EVERY} SELECT qid, doc_id, score, rank FROM dn")
 def dense_topk(spark, d):
-    return _dense(spark, d).select("qid", "doc_id", "score", "rank")
+    return _dense(spark, d, questions=False).select("qid", "doc_id", "score", "rank")
 
 
 @query("ir_cosine", "SELECT a.vec_id, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])) + 1e-10), 5) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
@@ -159,14 +163,14 @@ fs AS (SELECT qid, doc_id, round(sum(1.0 / (60 + rank)), 9) AS score, min(list *
 fu AS (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, first, doc_id) AS rank FROM fs QUALIFY rank <= 20)"""
 
 
-@query("ir_rrf_fusion", f"WITH {_BM25}, {_DENSE}, {_FUSED} SELECT qid, doc_id, round(score, 6) AS score, rank FROM fu")
+@query("ir_rrf_fusion", f"WITH {_BM25}, {_QUESTIONS}, {_FUSED} SELECT qid, doc_id, round(score, 6) AS score, rank FROM fu")
 def rrf_fusion(spark, d):
     return I.fused([_sparse(spark, d), _dense(spark, d)], 20).select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(
     "ir_mode_fallback",
-    f"WITH {_BM25}, {_DENSE}, {_FUSED} SELECT qid, 'hybrid' AS selected_mode, count(*) AS results FROM fu WHERE qid IN (SELECT qid FROM bm) AND qid IN (SELECT qid FROM dn) GROUP BY qid "
+    f"WITH {_BM25}, {_QUESTIONS}, {_FUSED} SELECT qid, 'hybrid' AS selected_mode, count(*) AS results FROM fu WHERE qid IN (SELECT qid FROM bm) AND qid IN (SELECT qid FROM dn) GROUP BY qid "
     "UNION ALL SELECT qid, 'bm25', count(*) FROM bm WHERE qid NOT IN (SELECT qid FROM dn) GROUP BY qid UNION ALL SELECT qid, 'dense', count(*) FROM dn WHERE qid NOT IN (SELECT qid FROM bm) GROUP BY qid",
 )
 def mode_fallback(spark, d):
@@ -178,7 +182,7 @@ def rerank_fallback(spark, d):
     return I.reranked(_sparse(spark, d), 5).select("qid", "doc_id", "rank")
 
 
-_RELEVANT = "rel AS (SELECT item_id AS qid, doc_id FROM benchmark b JOIN documents d ON contains(d.text, left(b.text, 60)))"
+_RELEVANT = "rel AS (SELECT item_id AS qid, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 
 
 @query(
@@ -192,9 +196,7 @@ _RELEVANT = "rel AS (SELECT item_id AS qid, doc_id FROM benchmark b JOIN documen
 )
 def rank_metrics(spark, d):
     asked = _questions(spark, d)
-    heads = asked.select("qid", F.left("text", F.lit(60)).alias("head"))
-    # A stated set of questions against all documents.
-    relevant = table(spark, d, "documents").select("doc_id", "text").join(F.broadcast(heads), F.expr("contains(text, head)")).select("qid", "doc_id")
+    relevant = I.containing(table(spark, d, "documents"), asked)
     return I.rank_metrics(_sparse(spark, d), relevant, asked, (1, 3, 5, 10, 20))
 
 
