@@ -190,22 +190,42 @@ def _write(base: str, date: str):
     return run
 
 
-def _normalise(batches):
-    for batch in batches:
-        for number, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            target, index = path.replace(".warc.gz", ".members.warc.gz"), []
-            system, where = _open(path)
-            at = 0
-            with system.open_input_stream(where, compression=None) as source, _Replacing(target) as out:
-                for head, record in split_records(inflate(source)):
-                    box = zlib.compressobj(6, zlib.DEFLATED, 31)
-                    member = box.compress(record) + box.flush()
-                    out.write(member)
-                    index.append(f"{parse_head(head)['warc-record-id']}\t{at}\t{len(member)}\n")
-                    at += len(member)
-            with _Replacing(target + ".idx") as out:
-                out.write("".join(index).encode())
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([target]), pa.array([len(index)], pa.int64())], names=["archive", "path", "records"])
+def _normalise(replace: bool):
+    def members(path: str, target: str) -> int:
+        system, where = _open(path)
+        at, index = 0, []
+        with system.open_input_stream(where, compression=None) as source, _Replacing(target) as out:
+            for head, record in split_records(inflate(source)):
+                box = zlib.compressobj(6, zlib.DEFLATED, 31)
+                member = box.compress(record) + box.flush()
+                out.write(member)
+                index.append(f"{parse_head(head)['warc-record-id']}\t{at}\t{len(member)}\n")
+                at += len(member)
+        with _Replacing(target + ".idx") as out:
+            out.write("".join(index).encode())
+        if replace:
+            system.delete_file(where)
+        return len(index)
+
+    def done(target: str) -> int:
+        """Records of a target that an earlier attempt has finished, its source gone."""
+        system, where = _open(target + ".idx")
+        with system.open_input_stream(where, compression=None) as f:
+            return f.read().count(b"\n")
+
+    def run(batches):
+        for batch in batches:
+            for number, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                target = path.replace(".warc.gz", ".members.warc.gz")
+                try:
+                    count = members(path, target)
+                except FileNotFoundError:
+                    if not replace:
+                        raise
+                    count = done(target)
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([target]), pa.array([count], pa.int64())], names=["archive", "path", "records"])
+
+    return run
 
 
 _ARCHIVES = "archive int, path string, records long"
@@ -273,9 +293,10 @@ def write_archives(records: DataFrame, base: str, *, id_col: str, payload_col: s
     return ordered.mapInArrow(_write(base, date), _ARCHIVES)
 
 
-def normalise_archives(paths: DataFrame) -> DataFrame:
-    """Rewrites each monolithic archive as members with a sidecar index; (archive, path, records)."""
-    return paths.select("archive", "path").mapInArrow(_normalise, _ARCHIVES)
+def normalise_archives(paths: DataFrame, *, replace: bool = False) -> DataFrame:
+    """Rewrites each monolithic archive as members with a sidecar index; (archive,
+    path, records). With replace an archive goes once its members and index are whole."""
+    return paths.select("archive", "path").mapInArrow(_normalise(replace), _ARCHIVES)
 
 
 def read_archives(paths: DataFrame, *, with_payload: bool = False) -> DataFrame:
@@ -299,5 +320,5 @@ def archive_round_trip(records: DataFrame, *, id_col: str, payload_col: str, url
     scratch = Scratch(spark, "warc")
     written = scratch.keep(write_archives(records, f"{scratch.base}/archives", id_col=id_col, payload_col=payload_col, url_col=url_col), "written")
     count = (written.agg(F.max("archive")).first()[0] or 0) + 1
-    members = scratch.keep(normalise_archives(written.repartitionById(count, F.col("archive"))), "members")
+    members = scratch.keep(normalise_archives(written.repartitionById(count, F.col("archive")), replace=True), "members")
     return read_archives(members.repartitionById(count, F.col("archive")), with_payload=with_payload)
