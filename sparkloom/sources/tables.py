@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,7 +57,7 @@ def write_json_lines(df: DataFrame, path: str) -> int:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,3 +90,59 @@ SALES_SQL = """ord AS (
          o_custkey AS Customer_Id, o_orderpriority AS Order_Priority, o_orderdate AS Order_DateTime
   FROM lineitem JOIN orders ON o_orderkey = l_orderkey
 )"""
+
+
+def working_dir(spark: SparkSession, label: str) -> str:
+    """A new folder that driver and executors share: below spark.checkpoint.dir, else
+    the warehouse, and only in local mode without either a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and spark.sparkContext.master.startswith("local"):
+        named = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
+    return f"{(named or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def resolve_path(spark: SparkSession, explicit: str | None, default: str, make: Callable[[], DataFrame]) -> str:
+    """The explicit path, else the default one, which is made as CSV where it is missing."""
+    if explicit:
+        if not exists(spark, explicit):
+            raise FileNotFoundError(explicit)
+        return explicit
+    if not exists(spark, default):
+        write_csv(make(), default)
+    return default
+
+
+def cached(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table kept at path, made and kept first where there is none."""
+    if not exists(spark, path):
+        make().write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def read_json_document(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """One JSON object over many lines, as a row."""
+    return spark.read.schema(schema).option("multiLine", True).json(path)
+
+
+def valid_crawl(df: DataFrame) -> DataFrame:
+    """Crawled records with a title, as they are kept."""
+    return df.where(F.trim(F.coalesce("title", F.lit(""))) != "")
+
+
+def markdown_report(df: DataFrame, title: str, order: list[str]) -> DataFrame:
+    """One row: a Markdown table of a summary's rows, under a title."""
+    cells = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]), F.lit(" |"))
+    lines = F.array_sort(F.collect_list(F.struct(*order, cells.alias("line"))))
+    head = f"# {title}\n\n| {' | '.join(df.columns)} |\n|{' - |' * len(df.columns)}\n"
+    return df.agg(lines.alias("l")).select(F.concat(F.lit(head), F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("report"))
+
+
+def write_stage(df: DataFrame, base: str, stage: str) -> DataFrame:
+    """A stage's table, whole before it takes its place; read back."""
+    df.write.mode("overwrite").parquet(f"{base}/{stage}")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{base}/{stage}")
