@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import queries_dialogues, queries_records, queries_relational, queries_samples, queries_scenarios, queries_scoring, queries_sources, queries_text  # noqa: F401 - they register
+from . import queries_dialogues, queries_records, queries_relational, queries_samples, queries_scenarios, queries_scoring, queries_search, queries_sources, queries_text  # noqa: F401 - they register
 from .registry import ORACLE, QUERIES
 
 

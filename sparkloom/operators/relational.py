@@ -135,15 +135,45 @@ def peers(products: DataFrame, count: int, *targets: str) -> DataFrame:
     return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= count).drop("target_price", "upto")
 
 
+def _settled(df: DataFrame) -> DataFrame:
+    """Rows computed once: checkpointed where the cluster names a folder, else cached."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.cache()
+
+
 def nearest_alternatives(products: DataFrame, count: int, targets: DataFrame) -> DataFrame:
-    """For each target, products of its category nearest in price and rating;
-    titles that are new come before repeated ones."""
-    one = targets.select(F.col("Product_ID").alias("target_id"), "Category", F.col("Price").alias("__p"), F.col("Rating").alias("__r"))
-    both = one.join(products, "Category").where("target_id <> Product_ID")
-    both = both.withColumns({"price_gap": F.abs(F.col("Price") - F.col("__p")), "rating_gap": F.abs(F.col("Rating") - F.col("__r"))})
-    order = ["price_gap", "rating_gap", "Product_Title", "Product_ID"]
-    both = both.withColumn("repeat", (F.row_number().over(Window.partitionBy("target_id", "Product_Title").orderBy(*order)) > 1).cast("int"))
-    return both.withColumn("rank", F.row_number().over(Window.partitionBy("target_id").orderBy("repeat", *order))).where(F.col("rank") <= count).drop("__p", "__r")
+    """For each target among the products, others of its category nearest in price
+    and rating; titles that are new come before repeated ones. Products without a
+    price or category take no part, a category of one has no alternatives.
+
+    A target meets the products around its place in the order of prices. Its
+    answer stands once count new titles lie nearer than the ends of that reach;
+    for the others the reach grows fourfold, up to the category where titles or
+    prices are all alike.
+    """
+    priced = products.where(F.col("Price").isNotNull() & F.col("Category").isNotNull())
+    placed = priced.withColumns({"__at": F.row_number().over(Window.partitionBy("Category").orderBy("Price", "Product_ID")), "__n": F.count("*").over(Window.partitionBy("Category")).cast("int")})
+    asked = placed.join(targets.select("Product_ID").distinct(), "Product_ID", "left_semi")
+    todo = asked.select(F.col("Product_ID").alias("target_id"), "Category", F.col("Price").alias("__p"), F.col("Rating").alias("__r"), F.col("__at").alias("__own"), F.col("__n").alias("__all"))
+    own, order, out, reach = todo.columns, ["price_gap", "rating_gap", "Product_Title", "Product_ID"], None, 4 * count
+    each = Window.partitionBy("target_id")
+    while True:
+        near = todo.withColumn("__at", F.explode(F.sequence(F.greatest(F.lit(1), F.col("__own") - reach), F.least("__all", F.col("__own") + reach))))
+        both = near.where("__at <> __own").join(placed.drop("__n"), ["Category", "__at"])
+        both = both.withColumns({"price_gap": F.abs(F.col("Price") - F.col("__p")), "rating_gap": F.abs(F.col("Rating") - F.col("__r"))})
+        at_end = ((F.col("__at") == F.col("__own") - reach) & (F.col("__at") > 1)) | ((F.col("__at") == F.col("__own") + reach) & (F.col("__at") < F.col("__all")))
+        both = both.withColumns({
+            "repeat": (F.row_number().over(Window.partitionBy("target_id", "Product_Title").orderBy(*order)) > 1).cast("int"),
+            "__end": F.min(F.when(at_end, F.col("price_gap"))).over(each),
+        })
+        best = both.withColumn("rank", F.row_number().over(each.orderBy("repeat", *order))).where(F.col("rank") <= count)
+        sure = (F.count("*").over(each) == count) & (F.max("repeat").over(each) == 0) & (F.max("price_gap").over(each) < F.col("__end"))
+        found = _settled(best.withColumn("__sure", F.col("__end").isNull() | sure))
+        done = found.where("__sure").drop("__at", "__end", "__sure", *[c for c in own if c.startswith("__")])
+        out = done if out is None else out.unionByName(done)
+        todo = found.where("NOT __sure AND rank = 1").select(own)
+        if todo.isEmpty():
+            return out
+        reach *= 4
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -182,7 +212,7 @@ def greedy_keep(titles: DataFrame, threshold: float = 0.85, rounds: int = 200) -
     In each round every undecided title without an undecided earlier neighbour is
     decided: dropped if an earlier neighbour is kept, else kept.
     """
-    edges = character_set_pairs(titles, threshold).select("a", "b").checkpoint() if titles.sparkSession.sparkContext.getCheckpointDir() else character_set_pairs(titles, threshold).select("a", "b").cache()
+    edges = _settled(character_set_pairs(titles, threshold).select("a", "b"))
     state = titles.select("id", F.lit(None).cast("boolean").alias("kept"))
     for _ in range(rounds):
         before = edges.join(state.select(F.col("id").alias("a"), F.col("kept").alias("ka")), "a").groupBy(F.col("b").alias("id")).agg(
@@ -190,7 +220,7 @@ def greedy_keep(titles: DataFrame, threshold: float = 0.85, rounds: int = 200) -
         )
         told = state.join(before, "id", "left")
         state = told.select("id", F.coalesce("kept", F.when(F.coalesce("beaten", F.lit(False)), False).when(~F.coalesce("waits", F.lit(False)), True)).alias("kept"))
-        state = state.checkpoint() if titles.sparkSession.sparkContext.getCheckpointDir() else state.cache()
+        state = _settled(state)
         if state.where("kept IS NULL").isEmpty():
             return state.where("kept").select("id")
     raise RuntimeError("titles are still undecided")

@@ -164,9 +164,7 @@ def latest_per_category(spark, d):
     return best.select("Category", "x.l_orderkey", "x.l_linenumber")
 
 
-_ALT = """
-, t AS (SELECT * FROM cat WHERE Rating < 3.6),
-b AS (SELECT t.Product_ID AS target_id, c.Product_ID, c.Product_Title, abs(c.Price - t.Price) AS pg, abs(c.Rating - t.Rating) AS rg FROM t JOIN cat c ON c.Category = t.Category AND c.Product_ID <> t.Product_ID),
+_ALT = """, b AS (SELECT t.Product_ID AS target_id, c.Product_ID, c.Product_Title, abs(c.Price - t.Price) AS pg, abs(c.Rating - t.Rating) AS rg FROM cat t JOIN cat c ON c.Category = t.Category AND c.Product_ID <> t.Product_ID),
 r AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY target_id, Product_Title ORDER BY pg, rg, Product_Title, Product_ID) > 1 THEN 1 ELSE 0 END AS rep FROM b)
 SELECT target_id, Product_ID, row_number() OVER (PARTITION BY target_id ORDER BY rep, pg, rg, Product_Title, Product_ID) AS rank FROM r QUALIFY rank <= 3
 """
@@ -175,7 +173,7 @@ SELECT target_id, Product_ID, row_number() OVER (PARTITION BY target_id ORDER BY
 @query("srt_nearest_alternatives", f"WITH {CATALOGUE_SQL} {_ALT}")
 def nearest_alternatives(spark, d):
     cat = catalogue(spark, d)
-    return R.nearest_alternatives(cat, 3, cat.where("Rating < 3.6")).select("target_id", "Product_ID", "rank")
+    return R.nearest_alternatives(cat, 3, cat).select("target_id", "Product_ID", "rank")
 
 
 @query(

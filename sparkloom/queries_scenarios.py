@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .operators import evaluation as E
 from .operators import scenarios as N
-from .queries_text import _SCORES_SQL, _scores, literals, values_sql
+from .queries_text import _SCORES_SQL, _scores, forms, forms_sql
 from .registry import query
 from .sources.tables import table
 
@@ -61,15 +61,15 @@ def base_only(spark, d):
 REASONS = ["budget_miss", "inventory_claim", "tone", ""]
 
 
-@query("rte_diagnosis_owner", f"WITH {values_sql(REASONS)} SELECT id, CASE WHEN text = '' THEN 'none' WHEN regexp_matches(text, 'inventory|medical|discount') THEN 'safety' WHEN regexp_matches(text, 'budget|grounding') THEN 'rag_or_prompt' ELSE 'dpo' END AS owner FROM t")
+@query("rte_diagnosis_owner", f"WITH {forms_sql(REASONS)} SELECT id, CASE WHEN text = '' THEN 'none' WHEN regexp_matches(text, 'inventory|medical|discount') THEN 'safety' WHEN regexp_matches(text, 'budget|grounding') THEN 'rag_or_prompt' ELSE 'dpo' END AS owner FROM t")
 def diagnosis_owner(spark, d):
-    return literals(spark, REASONS).select("id", N.diagnosis_owner(F.filter(F.array("text"), lambda x: x != "")).alias("owner"))
+    return forms(spark, d, REASONS).select("id", N.diagnosis_owner(F.filter(F.array("text"), lambda x: x != "")).alias("owner"))
 
 
 @query("par_recommendation_items")
 def recommendation_items(spark, d):
-    text = "开头\n\n1. **耳机 A**\n价格：¥299\n评分：4.8\n理由：降噪好\n\n2. **耳机 B**\n价格：399元\n评分：4.5"
-    return literals(spark, [text]).select(F.explode(N.recommendation_items("text")).alias("i")).select("i.*")
+    text = "开头\n\n1. **耳机 A**\n价格：¥{n}\n评分：4.8\n理由：降噪好\n\n2. **耳机 B**\n价格：399元\n评分：4.5"
+    return forms(spark, d, [text]).select("id", F.explode(N.recommendation_items("text")).alias("i")).select("id", "i.*")
 
 
 @query(

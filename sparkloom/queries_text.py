@@ -13,39 +13,42 @@ from .registry import query
 from .sources.tables import table
 from .streaming.state import chunks
 
-#: Literal rows of text queries, by query: Spark and SQL read the same list.
-PRICES = ["¥1,299.00-1,599.00", "0", "面议", "88", "199.999", "-5"]
+#: Forms of the texts of parsing queries: each row of part takes one, with its own number for {n}.
+PRICES = ["¥1,299.00-1,599.00", "¥{n}.50", "{n}-9", "0", "面议", "88", "199.999", "-5"]
 RATINGS = ["97", "4.6", "-1", "150", "abc", "3.25"]
-COUNTS = ["3万+", "1.2万+", "1,024", "none", "77"]
-ASKS = ["500元以内的耳机", "1000-2000元手机", "2000元以上", "under $30 cable", "ABOVE $99", "4.5分以上的耳机", "shoes above 4.2", "随便看看", "预算 300 元", "控制在800元"]
+COUNTS = ["3万+", "{n}万+", "{n}条", "1.2万+", "1,024", "none", "77"]
+ASKS = ["{n}元以内的耳机", "{n}-{n}0元手机", "预算 {n} 元", "{n}元以上", "under ${n} cable", "500元以内的耳机", "1000-2000元手机", "2000元以上", "under $30 cable", "ABOVE $99", "4.5分以上的耳机", "shoes above 4.2", "随便看看", "预算 300 元", "控制在800元"]
 ANSWERS = [
     "# 推荐\n\n1. **耳机 A** 价格：¥299，评分：4.8\n2. 耳机 B 399元\n共 3 款", "好的。", "价格：¥1299 评分：4.5 " + "很好用" * 20, "- 订单编号 ORD123 已发货\n\n- 预计 2 天\n\n" + "请耐心等待" * 10,
     "| a | b | c |\n\n价格：¥99 " + "说明" * 30,
 ]
 
 
-def literals(spark, values, name="text"):
-    return spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"id int, {name} string")
+def forms(spark, d, values):
+    """A text for every part: the form of its number, {n} in it replaced by that number."""
+    key = F.col("p_partkey")
+    form = F.element_at(F.array(*[F.lit(v) for v in values]), (key % len(values) + 1).cast("int"))
+    return table(spark, d, "part").select(key.alias("id"), F.replace(form, F.lit("{n}"), key.cast("string")).alias("text"))
 
 
-def values_sql(values, name="text"):
+def forms_sql(values):
     quoted = lambda v: "'" + v.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
-    return f"t(id, {name}) AS (VALUES " + ", ".join(f"({i}, {quoted(v)})" for i, v in enumerate(values)) + ")"
+    return f"t AS (SELECT p_partkey AS id, replace([{', '.join(map(quoted, values))}][p_partkey % {len(values)} + 1], '{{n}}', CAST(p_partkey AS VARCHAR)) AS text FROM part)"
 
 
-@query("num_clean_price", f"WITH {values_sql(PRICES)}, p AS (SELECT id, try_cast(nullif(regexp_replace(string_split(text, '-')[1], '[^0-9.]', '', 'g'), '') AS DOUBLE) AS x FROM t) SELECT id, CASE WHEN x > 0 THEN round(x, 2) END AS price FROM p")
+@query("num_clean_price", f"WITH {forms_sql(PRICES)}, p AS (SELECT id, try_cast(nullif(regexp_replace(string_split(text, '-')[1], '[^0-9.]', '', 'g'), '') AS DOUBLE) AS x FROM t) SELECT id, CASE WHEN x > 0 THEN round(x, 2) END AS price FROM p")
 def clean_price(spark, d):
-    return literals(spark, PRICES).select("id", X.clean_price("text").alias("price"))
+    return forms(spark, d, PRICES).select("id", X.clean_price("text").alias("price"))
 
 
-@query("num_clean_rating", f"WITH {values_sql(RATINGS)}, p AS (SELECT id, try_cast(text AS DOUBLE) AS r FROM t) SELECT id, CASE WHEN r > 100 THEN NULL WHEN r > 5 THEN round(r / 100 * 5, 1) WHEN r >= 0 THEN round(r, 1) END AS rating FROM p")
+@query("num_clean_rating", f"WITH {forms_sql(RATINGS)}, p AS (SELECT id, try_cast(text AS DOUBLE) AS r FROM t) SELECT id, CASE WHEN r > 100 THEN NULL WHEN r > 5 THEN round(r / 100 * 5, 1) WHEN r >= 0 THEN round(r, 1) END AS rating FROM p")
 def clean_rating(spark, d):
-    return literals(spark, RATINGS).select("id", X.clean_rating("text").alias("rating"))
+    return forms(spark, d, RATINGS).select("id", X.clean_rating("text").alias("rating"))
 
 
-@query("num_clean_count", f"WITH {values_sql(COUNTS)} SELECT id, try_cast(nullif(regexp_replace(replace(text, '万', '0000'), '[^0-9]', '', 'g'), '') AS BIGINT) AS n FROM t")
+@query("num_clean_count", f"WITH {forms_sql(COUNTS)} SELECT id, try_cast(nullif(regexp_replace(replace(text, '万', '0000'), '[^0-9]', '', 'g'), '') AS BIGINT) AS n FROM t")
 def clean_count(spark, d):
-    return literals(spark, COUNTS).select("id", X.clean_count("text").alias("n"))
+    return forms(spark, d, COUNTS).select("id", X.clean_count("text").alias("n"))
 
 
 @query(
@@ -58,7 +61,7 @@ def confidence(spark, d):
 
 @query(
     "par_price_range",
-    rf"""WITH {values_sql(ASKS)} SELECT id,
+    rf"""WITH {forms_sql(ASKS)} SELECT id,
     CASE WHEN regexp_matches(text, '(\d+\.?\d*)\s*元?\s*以[内下]') THEN NULL WHEN regexp_matches(text, '(\d+\.?\d*)\s*元?\s*以上') THEN try_cast(regexp_extract(text, '(\d+\.?\d*)\s*元?\s*以上', 1) AS DOUBLE)
          WHEN regexp_matches(text, '(\d+\.?\d*)\s*[-~到]\s*(\d+\.?\d*)') THEN try_cast(regexp_extract(text, '(\d+\.?\d*)\s*[-~到]\s*(\d+\.?\d*)', 1) AS DOUBLE) WHEN regexp_matches(text, '(?i)under\s+\$?(\d+)') THEN NULL
          WHEN regexp_matches(text, '(?i)above\s+\$?(\d+)') THEN try_cast(regexp_extract(text, '(?i)above\s+\$?(\d+\.?\d*)', 1) AS DOUBLE) END AS low,
@@ -66,23 +69,23 @@ def confidence(spark, d):
          WHEN regexp_matches(text, '(\d+\.?\d*)\s*[-~到]\s*(\d+\.?\d*)') THEN try_cast(regexp_extract(text, '(\d+\.?\d*)\s*[-~到]\s*(\d+\.?\d*)', 2) AS DOUBLE) WHEN regexp_matches(text, '(?i)under\s+\$?(\d+)') THEN try_cast(regexp_extract(text, '(?i)under\s+\$?(\d+\.?\d*)', 1) AS DOUBLE) END AS high FROM t""",
 )
 def price_range(spark, d):
-    return literals(spark, ASKS).select("id", X.price_range("text").alias("r")).select("id", "r.low", "r.high")
+    return forms(spark, d, ASKS).select("id", X.price_range("text").alias("r")).select("id", "r.low", "r.high")
 
 
 @query(
     "par_rating_filter",
-    rf"""WITH {values_sql(ASKS)} SELECT id, try_cast(coalesce(nullif(regexp_extract(text, '(\d\.?\d?)\s*[分星]以上', 1), ''), nullif(regexp_extract(lower(text), 'above\s+(\d\.?\d?)', 1), '')) AS DOUBLE) AS floor FROM t""",
+    rf"""WITH {forms_sql(ASKS)} SELECT id, try_cast(coalesce(nullif(regexp_extract(text, '(\d\.?\d?)\s*[分星]以上', 1), ''), nullif(regexp_extract(lower(text), 'above\s+(\d\.?\d?)', 1), '')) AS DOUBLE) AS floor FROM t""",
 )
 def rating_filter(spark, d):
-    return literals(spark, ASKS).select("id", X.rating_floor("text").alias("floor"))
+    return forms(spark, d, ASKS).select("id", X.rating_floor("text").alias("floor"))
 
 
 @query(
     "par_budget_limit",
-    rf"""WITH {values_sql(ASKS)} SELECT id, try_cast(coalesce(nullif(regexp_extract(text, '预算\s*(\d+(?:\.\d+)?)\s*元', 1), ''), nullif(regexp_extract(text, '(\d+(?:\.\d+)?)\s*元以内', 1), ''), nullif(regexp_extract(text, '控制在\s*(\d+(?:\.\d+)?)\s*元', 1), '')) AS DOUBLE) AS budget FROM t""",
+    rf"""WITH {forms_sql(ASKS)} SELECT id, try_cast(coalesce(nullif(regexp_extract(text, '预算\s*(\d+(?:\.\d+)?)\s*元', 1), ''), nullif(regexp_extract(text, '(\d+(?:\.\d+)?)\s*元以内', 1), ''), nullif(regexp_extract(text, '控制在\s*(\d+(?:\.\d+)?)\s*元', 1), '')) AS DOUBLE) AS budget FROM t""",
 )
 def budget_limit(spark, d):
-    return literals(spark, ASKS).select("id", X.budget_limit("text").alias("budget"))
+    return forms(spark, d, ASKS).select("id", X.budget_limit("text").alias("budget"))
 
 
 @query("str_clean_text", r"SELECT doc_id, sha256(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS cleaned FROM documents")
@@ -231,40 +234,40 @@ def report(spark, d):
     return E.rejection_report(table(spark, d, "documents").select(E.sft_reason(F.lit(""), "text").alias("reason")))
 
 
-@query("qf_dpo_reason", f"WITH {values_sql(ANSWERS)} SELECT id, coalesce({_REASON_SQL}, CASE WHEN id % 2 = 1 THEN 'too_short' END) AS reason FROM t")
+@query("qf_dpo_reason", f"WITH {forms_sql(ANSWERS)} SELECT id, coalesce({_REASON_SQL}, CASE WHEN id % 2 = 1 THEN 'too_short' END) AS reason FROM t")
 def dpo_reason(spark, d):
     rejected = F.when(F.col("id") % 2 == 1, "no").otherwise("a poor answer")
-    return literals(spark, ANSWERS).select("id", E.dpo_reason(F.lit(""), "text", rejected, F.lit("format")).alias("reason"))
+    return forms(spark, d, ANSWERS).select("id", E.dpo_reason(F.lit(""), "text", rejected, F.lit("format")).alias("reason"))
 
 
 @query("cln_pipeline")
 def clean_pipeline(spark, d):
     rows = [*ANSWERS, "先看 [1] 耳机 A，价格 299元\n[2] 耳机 B\n[2] 耳机 B\n\n\n推荐 [1] 耳", "很好。很好。很好用！以上为本次推荐结果。后面的话", "答案 spep user\nx", "[链接](https://a.example/b) 🧐\n***\nuser\n泄露"]
-    return literals(spark, rows).select("id", C.clean_answer("text").alias("cleaned"), C.clean_exported("text").alias("exported"))
+    return forms(spark, d, rows).select("id", C.clean_answer("text").alias("cleaned"), C.clean_exported("text").alias("exported"))
 
 
-@query("cln_markers", f"WITH {values_sql(['前 spep 后', '文本 rumpe', '没有', '如需了解 更多', 'x +lsi y'])} SELECT id, CASE WHEN instr(text, 'spep') > 0 THEN rtrim(left(text, instr(text, 'spep') - 1)) WHEN instr(text, 'rumpe') > 0 THEN rtrim(left(text, instr(text, 'rumpe') - 1)) WHEN instr(text, '+lsi') > 0 THEN rtrim(left(text, instr(text, '+lsi') - 1)) ELSE text END AS cut FROM t")
+@query("cln_markers", f"WITH {forms_sql(['前 spep 后', '文本 rumpe', '没有', '如需了解 更多', 'x +lsi y'])} SELECT id, CASE WHEN instr(text, 'spep') > 0 THEN rtrim(left(text, instr(text, 'spep') - 1)) WHEN instr(text, 'rumpe') > 0 THEN rtrim(left(text, instr(text, 'rumpe') - 1)) WHEN instr(text, '+lsi') > 0 THEN rtrim(left(text, instr(text, '+lsi') - 1)) ELSE text END AS cut FROM t")
 def markers(spark, d):
-    return literals(spark, ["前 spep 后", "文本 rumpe", "没有", "如需了解 更多", "x +lsi y"]).select("id", X.cut_before(F.col("text"), C.STOP_MARKERS).alias("cut"))
+    return forms(spark, d, ["前 spep 后", "文本 rumpe", "没有", "如需了解 更多", "x +lsi y"]).select("id", X.cut_before(F.col("text"), C.STOP_MARKERS).alias("cut"))
 
 
 CLAIMS = ["我不能保证有货", "我保证有货", "无法保证", "绝对保证", "没法 保证 但一定有"]
 
 
-@query("ben_negation_hits", f"WITH {values_sql(CLAIMS)} SELECT id, contains(regexp_replace(regexp_replace(text, '\\s+', '', 'g'), '(不|别|勿|无法|不能|没法|不可)保证', '', 'g'), '保证') AS hit FROM t")
+@query("ben_negation_hits", f"WITH {forms_sql(CLAIMS)} SELECT id, contains(regexp_replace(regexp_replace(text, '\\s+', '', 'g'), '(不|别|勿|无法|不能|没法|不可)保证', '', 'g'), '保证') AS hit FROM t")
 def negation_hits(spark, d):
-    return literals(spark, CLAIMS).select("id", X.hit_outside_negation("text", "保证").alias("hit"))
+    return forms(spark, d, CLAIMS).select("id", X.hit_outside_negation("text", "保证").alias("hit"))
 
 
-@query("ben_budget_score", rf"""WITH {values_sql(ANSWERS)}, p AS (SELECT id, list_transform(regexp_extract_all(text, '[¥￥]\s*(\d+(?:\.\d+)?)', 1), lambda x: CAST(x AS DOUBLE)) AS ps FROM t)
+@query("ben_budget_score", rf"""WITH {forms_sql(ANSWERS)}, p AS (SELECT id, list_transform(regexp_extract_all(text, '[¥￥]\s*(\d+(?:\.\d+)?)', 1), lambda x: CAST(x AS DOUBLE)) AS ps FROM t)
 SELECT id, CASE WHEN len(ps) = 0 THEN 0.2 WHEN len(list_filter(ps, lambda x: x <= 336)) = 0 THEN 0.0 ELSE least(1.0, len(list_filter(ps, lambda x: x <= 336)) / greatest(1, least(3, len(ps)))) END::DOUBLE AS score FROM p""")
 def budget_score(spark, d):
-    return literals(spark, ANSWERS).select("id", X.budget_score("text", F.lit(300.0)).cast("double").alias("score"))
+    return forms(spark, d, ANSWERS).select("id", X.budget_score("text", F.lit(300.0)).cast("double").alias("score"))
 
 
 @query("gev_rouge_l")
 def rouge(spark, d):
-    rows = literals(spark, ANSWERS).select("id", X.tokens("text").alias("a"), X.tokens(F.lit("推荐 耳机 A 价格 299 评分 4.8")).alias("b"))
+    rows = forms(spark, d, ANSWERS).select("id", X.tokens("text").alias("a"), X.tokens(F.lit("推荐 耳机 A 价格 299 评分 4.8")).alias("b"))
     return rows.select("id", F.round(E.rouge_l("a", "b"), 6).alias("f1"))
 
 
@@ -280,9 +283,9 @@ def fact_consistency(spark, d):
 JUDGED = ['{"overall": 0.8, "primary_failure": "tone", "failure_tags": ["tone","long"]}', '```json\n{"overall": 1.4}\n```', '"overall": 0.25, "primary_failure": "budget"', "no json here", '{"overall": "bad"}']
 
 
-@query("par_judge_json", f"WITH {values_sql(JUDGED)} SELECT id, CASE id WHEN 0 THEN 0.8 WHEN 1 THEN 1.0 WHEN 2 THEN 0.25 ELSE 0.5 END::DOUBLE AS overall, CASE id WHEN 0 THEN 'tone' WHEN 2 THEN 'budget' ELSE 'none' END AS primary_failure, CASE id WHEN 0 THEN 'tone,long' ELSE '' END AS tags FROM t")
+@query("par_judge_json", f"WITH {forms_sql(JUDGED)} SELECT id, CASE id % 5 WHEN 0 THEN 0.8 WHEN 1 THEN 1.0 WHEN 2 THEN 0.25 ELSE 0.5 END::DOUBLE AS overall, CASE id % 5 WHEN 0 THEN 'tone' WHEN 2 THEN 'budget' ELSE 'none' END AS primary_failure, CASE id % 5 WHEN 0 THEN 'tone,long' ELSE '' END AS tags FROM t")
 def judge_json(spark, d):
-    return literals(spark, JUDGED).select("id", E.parse_judge("text").alias("j")).select("id", "j.overall", "j.primary_failure", F.array_join("j.tags", ",").alias("tags"))
+    return forms(spark, d, JUDGED).select("id", E.parse_judge("text").alias("j")).select("id", "j.overall", "j.primary_failure", F.array_join("j.tags", ",").alias("tags"))
 
 
 # Orders as cases, their lines as stages: a scored table of any size.
@@ -396,10 +399,10 @@ def html_record(spark, d):
     )
 
 
-ROUTED = ["你好", "HELLO", "高优先级 的订单", "我的订单呢", "where is my order", "推荐一款耳机", "你能做什么呀", "退款"]
+ROUTED = ["你好", "订单 {n} 到哪了", "推荐 {n} 元的耳机", "HELLO", "高优先级 的订单", "我的订单呢", "where is my order", "推荐一款耳机", "你能做什么呀", "退款"]
 
 
-@query("rag_route", f"WITH {values_sql(ROUTED)} SELECT id, CASE WHEN lower(trim(text)) IN ('你好', 'hello') OR contains(text, '你能做什么') THEN 'smalltalk' WHEN contains(text, '高优先级') THEN 'high_priority' WHEN regexp_matches(lower(text), '订单|物流|快递|发货|退货|退款|order|purchase|bought|shipping') THEN 'order' ELSE 'search' END AS route FROM t")
+@query("rag_route", f"WITH {forms_sql(ROUTED)} SELECT id, CASE WHEN lower(trim(text)) IN ('你好', 'hello') OR contains(text, '你能做什么') THEN 'smalltalk' WHEN contains(text, '高优先级') THEN 'high_priority' WHEN regexp_matches(lower(text), '订单|物流|快递|发货|退货|退款|order|purchase|bought|shipping') THEN 'order' ELSE 'search' END AS route FROM t")
 def route(spark, d):
     # Words and phrases of each route.
     greetings = ["你好", "您好", "嗨", "哈喽", "hi", "hello", "hey", "在吗", "在不在", "谢谢", "感谢", "再见", "bye", "goodbye"]
@@ -407,7 +410,7 @@ def route(spark, d):
     orders = "订单|物流|快递|发货|退货|退款|order|purchase|bought|shipping"
     low = F.lower(X.strip("text"))
     chosen = F.when(low.isin(*greetings) | F.col("text").rlike(phrases), "smalltalk").when(low.rlike("高优先级|high priority"), "high_priority").when(low.rlike(orders), "order").otherwise("search")
-    return literals(spark, ROUTED).select("id", chosen.alias("route"))
+    return forms(spark, d, ROUTED).select("id", chosen.alias("route"))
 
 
 @query("rag_context_block", "WITH c AS (SELECT p_type, p_partkey, row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice DESC, p_partkey) AS n, p_name FROM part) SELECT p_type, string_agg('[' || n || '] ' || p_name, chr(10) ORDER BY n) AS context FROM c WHERE n <= 5 GROUP BY p_type")

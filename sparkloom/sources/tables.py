@@ -146,3 +146,27 @@ def write_stage(df: DataFrame, base: str, stage: str) -> DataFrame:
     """A stage's table, whole before it takes its place; read back."""
     df.write.mode("overwrite").parquet(f"{base}/{stage}")
     return df.sparkSession.read.schema(df.schema).parquet(f"{base}/{stage}")
+
+
+def read_raw_products(df: DataFrame) -> DataFrame:
+    """A raw product dialect under the runtime's names, with numbers; rows without a price over 0 or a rating go."""
+    # The raw names.
+    names = {"title": "Product_Title", "main_category": "Category", "average_rating": "Rating", "rating_number": "Rating_Count", "price": "Price", "store": "Store", "description": "Description", "features": "Features"}
+    out = df.withColumnsRenamed({a: b for a, b in names.items() if a in df.columns and b not in df.columns})
+    number = lambda c: F.col(c).cast("string").try_cast("double")
+    out = out.withColumns({"Price": number("Price"), "Rating": number("Rating"), "Rating_Count": F.coalesce(number("Rating_Count").cast("bigint"), F.lit(0))})
+    return out.where("Price > 0 AND Rating IS NOT NULL")
+
+
+def write_vectors(df: DataFrame, path: str) -> DataFrame:
+    """(id, embedding) as Parquet under path/vectors and one row (rows, dimensions) under path/info; returns the latter."""
+    df.select("id", "embedding").write.mode("overwrite").parquet(f"{path}/vectors")
+    kept = df.sparkSession.read.parquet(f"{path}/vectors")
+    kept.agg(F.count("*").alias("rows"), F.max(F.size("embedding")).cast("bigint").alias("dimensions")).write.mode("overwrite").parquet(f"{path}/info")
+    return df.sparkSession.read.parquet(f"{path}/info")
+
+
+def read_batch_queries(spark: SparkSession, path: str) -> DataFrame:
+    """A JSON array of {text, customer_id}; a missing text is empty."""
+    read = spark.read.schema("text string, customer_id bigint").option("multiLine", True).json(path)
+    return read.withColumn("text", F.coalesce("text", F.lit("")))

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import cleaning as C
+from sparkloom.functions import prompts as M
 from sparkloom.functions import text as X
 from sparkloom.operators import evaluation as E
 from sparkloom.operators import relational as R
@@ -111,3 +112,62 @@ def test_date_bounds():
     for bad in (("2024-1-2", "2024-01-03"), ("2024-01-03", "2024-01-02"), ("x" * 10, "2024-01-02")):
         with pytest.raises(ValueError):
             date_bounds(*bad)
+
+
+def test_prompts(spark):
+    asked = "预算控制在300元以内，主要用于 通勤 ，更看重缓震。"
+    assert tuple(one(spark, M.structured_prompt("v"), asked)) == ("300", "通勤", "缓震")
+    assert tuple(one(spark, M.structured_prompt("v"))) == ("", "", "")
+    assert one(spark, M.without_leaks("v"), " 好\r\n\n\n\n的🖇\n##User\n泄露\nx") == "好\n\n的"
+    assert one(spark, M.without_leaks("v"), "user\nx") == ""
+    assert one(spark, M.without_leaks("v")) is None
+    short = lambda text, feature="", scene="": one(spark, M.short_reason("v", F.lit(feature), F.lit(scene)), text)
+    assert short("价格在预算内，更适合通勤。") == "偏通勤。"
+    assert short("结合通勤与当前评分表现，适合久走") == "更适合久走。"
+    assert short("缓震好", "缓震") == "更偏缓震取向，当前评分也比较稳。"
+    assert short(None, "缓震", "通勤") == "偏通勤取向，当前评分也比较稳。"
+    assert short("。") == "价格和评分都比较稳。"
+
+
+def test_detail_numbers(spark):
+    assert one(spark, M.first_price(F.lit("暂无"), F.lit("1.2.3"), "v"), "¥1,299.50") == 1299.5
+    assert one(spark, M.first_price("v")) is None
+    assert one(spark, M.percent_rating("v"), "97%好评") == 4.9
+
+
+def test_evidence(spark):
+    assert one(spark, M.system_message("S", F.array().cast("array<string>"))) == "S\n\n" + M.NO_EVIDENCE
+    assert one(spark, M.system_message("S", F.lit(None).cast("array<string>"))) == "S\n\n" + M.NO_EVIDENCE
+    shown = M.evidence(F.lit("A"), F.lit(3), F.lit(4.5), F.lit(None), F.lit(None), F.col("v"), {"promo_note": F.lit(" 减10 "), "availability": F.lit("")})
+    assert one(spark, shown) == "A\n价格：¥3.00\n评分：4.5/5\n品牌：未知\n描述：\n特点：\n价格备注：减10"
+    assert one(spark, M.with_extras(F.create_map(F.lit("a"), F.lit("1")), a=F.lit("2"), b=F.lit(""), c=F.lit(None))) == {"a": "2"}
+
+
+def test_alternatives_of_alike_products(spark):
+    """Equal prices and repeated titles: the reach grows until three titles are new."""
+    rows = [(i, f"t{i // 15}", "c", 10.0 + (i // 40), float(i % 5)) for i in range(90)] + [(100, "alone", "d", 1.0, 1.0), (101, "free", "c", None, 1.0)]
+    df = spark.createDataFrame(rows, "Product_ID int, Product_Title string, Category string, Price double, Rating double")
+    got = {}
+    for r in sorted(R.nearest_alternatives(df, 3, df).collect(), key=lambda r: (r.target_id, r["rank"])):
+        got.setdefault(r.target_id, []).append(r.Product_ID)
+    want = {}
+    for t in rows[:90]:
+        near, seen, listed = sorted((abs(p[3] - t[3]), abs(p[4] - t[4]), p[1], p[0]) for p in rows[:90] if p[0] != t[0]), set(), []
+        for x in near:
+            listed.append((x[2] in seen, *x))
+            seen.add(x[2])
+        want[t[0]] = [x[4] for x in sorted(listed)[:3]]
+    assert got == want
+
+
+def test_search_floor_after_the_best(spark):
+    found = spark.createDataFrame([(1, i, 1.0 - i / 10, i + 1) for i in range(6)], "qid int, doc_id int, score double, rank int")
+    products = spark.createDataFrame([(i, 5.0 if i % 2 else None) for i in range(1, 6)], "doc_id int, Rating double")
+    assert [(r.doc_id, r["rank"]) for r in I.search(found, products, 4, min_rating=4.0).orderBy("rank").collect()] == [(1, 1), (3, 2)]
+
+
+def test_raw_products_and_batches(spark, tmp_path):
+    raw = spark.createDataFrame([("a", "9.5", "4", "3"), ("b", "0", "4", None), ("c", "x", "4", None), ("d", "2", None, None), ("e", "2", "1", "")], "title string, price string, average_rating string, rating_number string")
+    assert [(r.Product_Title, r.Price, r.Rating_Count) for r in T.read_raw_products(raw).collect()] == [("a", 9.5, 3), ("e", 2.0, 0)]
+    (tmp_path / "q.json").write_text('[{"text": "a", "customer_id": 3}, {"customer_id": 4}]')
+    assert sorted(map(tuple, T.read_batch_queries(spark, str(tmp_path / "q.json")).collect())) == [("", 4), ("a", 3)]
