@@ -165,3 +165,34 @@ def specs(lines: str | Column) -> Column:
 
     pairs = F.transform(F.filter(_c(lines), lambda x: x.rlike("[：:]")), pair)
     return F.filter(pairs, lambda p: (p["key"] != "") & (p["value"] != ""))
+
+
+def product_rows(df: DataFrame) -> DataFrame:
+    """The fields that pair builders read: texts trimmed, null ones empty, price and rating as numbers."""
+    text = lambda c: strip(F.coalesce(F.col(c).cast("string"), F.lit(""))) if c in df.columns else F.lit("")
+    names = ("Product_ID", "Product_Title", "Category", "Description", "Brand", "features")
+    return df.select(*[text(c).alias(c) for c in names], F.col("Price").cast("double").alias("Price"), F.col("Rating").cast("double").alias("Rating"))
+
+
+def bundle_records(records: DataFrame, products: DataFrame, *, dimension: str, task: str, categories: list[str], by_category: bool) -> DataFrame:
+    """Records of a dimension and a task; by category those whose product is of one
+    of the categories, if any are named. A record without a product has no category."""
+    some = records.where((F.col("dimension") == dimension) & (F.col("task") == task))
+    if not by_category or not categories:
+        return some
+    known = products.where(strip(F.col("Category")).isin(categories)).select(strip(F.col("Product_ID").cast("string")).alias("__product")).where("__product <> ''")
+    return some.join(known, strip(some["product_id"].cast("string")) == known["__product"], "left_semi")
+
+
+def surrogate_ids(df: DataFrame, id_col: str, source_col: str, order: str, *, width: int = 1 << 16) -> DataFrame:
+    """source_index for rows whose id is null or empty, the index counted from 0 over
+    all rows by a unique whole number. Rows are numbered within ranges of that
+    number, and only the counts of the ranges are added up in one place."""
+    slot = F.floor(F.col(order) / width)
+    counts = df.groupBy(slot.alias("__slot")).agg(F.count("*").alias("__rows"))
+    before = Window.orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("__slot", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__start"))
+    placed = df.withColumn("__slot", slot).join(starts, "__slot")
+    index = F.col("__start") + F.row_number().over(Window.partitionBy("__slot").orderBy(order)) - 1
+    made = placed.withColumn("__index", index).withColumn(id_col, F.when(F.coalesce(F.col(id_col).cast("string"), F.lit("")) == "", F.concat(F.coalesce(source_col, F.lit("")), F.lit("_"), F.col("__index").cast("string"))).otherwise(F.col(id_col).cast("string")))
+    return made.drop("__slot", "__start", "__index")

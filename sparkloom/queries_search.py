@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import prompts as P
+from .operators import records as N
 from .operators import retrieval as I
 from .queries_text import _BM25, _FUSED, _QUESTIONS, _dense, _sparse
 from .registry import query
@@ -19,8 +20,8 @@ from .sources.tables import CATALOGUE_SQL, catalogue, read_raw_products, table,
     SELECT qid, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM best WHERE Rating >= 3.5""",
 )
 def search_end_to_end(spark, d):
-    mixed = I.with_mode("hybrid", _sparse(spark, d), _dense(spark, d), 20).where("selected_mode = 'hybrid'")
-    found = I.search(mixed.select("qid", "doc_id", "score", "rank"), catalogue(spark, d), 5, min_rating=3.5, id_col="Product_ID")
+    mixed = I.fused([_sparse(spark, d), _dense(spark, d)], 20)
+    found = I.search(mixed, catalogue(spark, d), 5, min_rating=3.5, id_col="Product_ID")
     return found.select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -118,3 +119,27 @@ def raw_products(spark, d):
 @query("snk_vectors", "SELECT count(*) AS rows, max(len(embedding)) AS dimensions FROM embeddings")
 def vectors(spark, d):
     return write_vectors(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), working_dir(spark, "vectors"))
+
+
+@query("ir_encode", "WITH v AS (SELECT item_id, length(text)::DOUBLE AS a, length(replace(text, 'e', ''))::DOUBLE AS b FROM benchmark) SELECT item_id, round(a / sqrt(a * a + b * b), 6) AS x, round(b / sqrt(a * a + b * b), 6) AS y FROM v")
+def encode(spark, d):
+    made = I.encoded(table(spark, d, "benchmark"), lambda texts: [[len(t), len(t.replace("e", ""))] for t in texts], id_col="item_id")
+    return made.select("item_id", F.round(F.col("embedding")[0], 6).alias("x"), F.round(F.col("embedding")[1], 6).alias("y"))
+
+
+@query("prj_product_rows", f"WITH {CATALOGUE_SQL} SELECT CAST(Product_ID AS VARCHAR) AS Product_ID, trim(Product_Title) AS Product_Title, trim(Category) AS Category, '' AS Description, trim(Brand) AS Brand, '' AS features, Price::DOUBLE AS Price, Rating::DOUBLE AS Rating FROM cat")
+def product_rows(spark, d):
+    return N.product_rows(catalogue(spark, d).withColumn("Product_Title", F.concat(F.lit(" \t"), "Product_Title", F.lit("\n"))))
+
+
+@query("flt_bundle_records", f"WITH {CATALOGUE_SQL} SELECT l_orderkey, l_linenumber FROM lineitem JOIN cat ON Product_ID = l_partkey WHERE l_returnflag = 'R' AND l_linestatus = 'F' AND Brand IN ('Brand#11', 'Brand#23')")
+def bundle_records(spark, d):
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("dimension"), F.col("l_linestatus").alias("task"), F.col("l_partkey").alias("product_id"))
+    products = catalogue(spark, d).drop("Category").withColumnRenamed("Brand", "Category")
+    return N.bundle_records(lines, products, dimension="R", task="F", categories=["Brand#11", "Brand#23"], by_category=True).select("l_orderkey", "l_linenumber")
+
+
+@query("prj_surrogate_ids", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_type || '_' || (row_number() OVER (ORDER BY event_id) - 1) ELSE 'e' || event_id END AS id FROM events")
+def surrogate_ids(spark, d):
+    given = F.when(F.col("event_id") % 3 > 0, F.concat(F.lit("e"), F.col("event_id").cast("string")))
+    return N.surrogate_ids(table(spark, d, "events").withColumn("id", given), "id", "event_type", "event_id", width=1000).select("event_id", "id")
