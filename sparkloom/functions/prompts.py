@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 from .text import strip
 
-# The form of a structured prompt, leaked turns and stray marks, and labels of service notes.
+# The form of a structured prompt, leaked turns and stray marks, openings and ends of reasons, labels of
+# service notes, and the sentences around evidence.
 STRUCTURED_PROMPT = r"预算(?:控制在)?(\p{Nd}+)元以内，主要用于([^\n]+?)，更看重([^\n]+?)。"
 LEAKED_TURN = r"(?is)(?:^|\n)[^\n]{0,3}(?:user|assistant)\n.*"
 STRAY_MARKS = ("🖇", "垞", "�", "ropic", "玭")
+REASON_OPENINGS = ("^价格在预算内，?", r"结合[^\n]+?与当前评分表现，?")
+SUITED, SUITED_MORE, LEANS, LEANS_MORE = "适合", "更适合", "偏", "更偏"
+STEADY, PLAINLY_STEADY = "取向，当前评分也比较稳。", "价格和评分都比较稳。"
 NOTE_LABELS = {"availability": "库存备注", "service_note": "客服备注", "promo_note": "价格备注", "safety_note": "安全备注"}
 NO_EVIDENCE = "本轮没有可用商品证据。可以给通用建议，但不要编造具体价格、库存、售后结果。"
 EVIDENCE = "下面是本轮唯一可用的商品资料，请仅基于这些资料中的事实回答：\n\n"
@@ -37,16 +41,18 @@ def without_leaks(text: str | Column) -> Column:
 def short_reason(reason: str | Column, feature: str | Column, scene: str | Column) -> Column:
     """A reason in one short sentence: the asked feature if it is named, else its own words, else the scene."""
     said, feature, scene = strip(F.coalesce(_c(reason), F.lit(""))), F.coalesce(_c(feature), F.lit("")), strip(F.coalesce(_c(scene), F.lit("")))
-    bare = F.regexp_replace(F.regexp_replace(said, "^价格在预算内，?", ""), r"结合[^\n]+?与当前评分表现，?", "")
+    bare = said
+    for opening in REASON_OPENINGS:
+        bare = F.regexp_replace(bare, opening, "")
     bare = F.regexp_replace(bare, "^[。 ]+|[。 ]+$", "")
-    leaning = lambda what: F.concat(what, F.lit("取向，当前评分也比较稳。"))
+    leaning = lambda how, what: F.concat(F.lit(how), what, F.lit(STEADY))
     return (
-        F.when((feature != "") & F.contains(F.coalesce(_c(reason), F.lit("")), feature), leaning(F.concat(F.lit("更偏"), feature)))
-        .when(bare.startswith("更适合"), F.concat(F.regexp_replace(bare, "^更适合", "偏"), F.lit("。")))
-        .when(bare.startswith("适合"), F.concat(F.lit("更"), bare, F.lit("。")))
+        F.when((feature != "") & F.contains(F.coalesce(_c(reason), F.lit("")), feature), leaning(LEANS_MORE, feature))
+        .when(bare.startswith(SUITED_MORE), F.concat(F.regexp_replace(bare, f"^{SUITED_MORE}", LEANS), F.lit("。")))
+        .when(bare.startswith(SUITED), F.concat(F.lit("更"), bare, F.lit("。")))
         .when(bare != "", F.concat(bare, F.lit("。")))
-        .when(scene != "", leaning(F.concat(F.lit("偏"), scene)))
-        .otherwise("价格和评分都比较稳。")
+        .when(scene != "", leaning(LEANS, scene))
+        .otherwise(PLAINLY_STEADY)
     )
 
 
