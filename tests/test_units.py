@@ -7,6 +7,7 @@ from sparkloom.functions import cleaning as C
 from sparkloom.functions import prompts as M
 from sparkloom.functions import text as X
 from sparkloom.operators import evaluation as E
+from sparkloom.operators import records as N
 from sparkloom.operators import relational as R
 from sparkloom.operators import retrieval as I
 from sparkloom.plans import data_plan as P
@@ -171,3 +172,25 @@ def test_raw_products_and_batches(spark, tmp_path):
     assert [(r.Product_Title, r.Price, r.Rating_Count) for r in T.read_raw_products(raw).collect()] == [("a", 9.5, 3), ("e", 2.0, 0)]
     (tmp_path / "q.json").write_text('[{"text": "a", "customer_id": 3}, {"customer_id": 4}]')
     assert sorted(map(tuple, T.read_batch_queries(spark, str(tmp_path / "q.json")).collect())) == [("", 4), ("a", 3)]
+
+
+def test_encoder_hook(spark):
+    docs = spark.createDataFrame([(1, "abc"), (2, None), (3, "")], "doc_id int, text string")
+    made = {r.doc_id: r.embedding for r in I.encoded(docs, lambda texts: [[3.0 * bool(t), 4.0 * bool(t)] for t in texts], batch=2).collect()}
+    assert made == {1: [0.6, 0.8], 2: [0.0, 0.0], 3: [0.0, 0.0]}
+    assert I.encoded(docs, None).collect() == [] and I.encoded(docs.limit(0), lambda texts: []).collect() == []
+
+
+def test_record_selections(spark):
+    products = spark.createDataFrame([(" 1 ", "c", 2, None), ("2", "d", 3, 4.0), ("", "c", 1, 1.0)], "Product_ID string, Category string, Price int, Rating double")
+    assert N.product_rows(products).where("Product_ID = '1'").first().asDict() == {"Product_ID": "1", "Product_Title": "", "Category": "c", "Description": "", "Brand": "", "features": "", "Price": 2.0, "Rating": None}
+    records = spark.createDataFrame([(1, "x", "t", "1"), (2, "x", "t", "2"), (3, "x", "t", None), (4, "y", "t", "1"), (5, "x", "t", "")], "n int, dimension string, task string, product_id string")
+    ids = lambda **how: sorted(r.n for r in N.bundle_records(records, products, dimension="x", task="t", **how).collect())
+    assert ids(categories=["c"], by_category=True) == [1]
+    assert ids(categories=[], by_category=True) == ids(categories=["c"], by_category=False) == [1, 2, 3, 5]
+
+
+def test_surrogate_ids(spark):
+    df = spark.createDataFrame([(i, None if i % 2 else f"p{i}", "s" if i < 8 else None) for i in range(0, 10)], "n long, id string, source string")
+    assert [r.id for r in N.surrogate_ids(df, "id", "source", "n", width=3).orderBy("n").collect()] == ["p0", "s_1", "p2", "s_3", "p4", "s_5", "p6", "s_7", "p8", "_9"]
+    assert N.surrogate_ids(df.limit(0), "id", "source", "n").collect() == []
