@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .functions.text import rounded
 from .operators import records as D
 from .plans import dialogues as G
 from .registry import query
@@ -95,6 +96,6 @@ _FAIL = "f AS (SELECT o_orderkey AS case_id, o_orderpriority AS scenario, round(
     SELECT bundle, count(case_id) AS failures, string_agg(CAST(case_id AS VARCHAR), ',' ORDER BY overall, case_id) AS cases, min(overall) AS least FROM b LEFT JOIN f USING (scenario) GROUP BY bundle""",
 )
 def failure_first(spark, d):
-    low = table(spark, d, "orders").where("o_totalprice < 2000").select(F.col("o_orderkey").alias("case_id"), F.col("o_orderpriority").alias("scenario"), F.round(F.col("o_totalprice") / 1000000, 6).alias("overall"))
+    low = table(spark, d, "orders").where("o_totalprice < 2000").select(F.col("o_orderkey").alias("case_id"), F.col("o_orderpriority").alias("scenario"), rounded(F.col("o_totalprice") / 1000000, 6).alias("overall"))
     bundles = spark.createDataFrame([("hot", ["1-URGENT", "2-HIGH"]), ("cold", ["5-LOW"]), ("none", ["x"])], "bundle string, scenarios array<string>")
     return G.failure_plan(bundles, low)

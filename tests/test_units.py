@@ -1,8 +1,10 @@
 """Hand-worked values, dialects, sinks and streams."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from sparkloom import catalogue
 from sparkloom.functions import cleaning as C
 from sparkloom.functions import prompts as M
 from sparkloom.functions import text as X
@@ -13,6 +15,7 @@ from sparkloom.operators import retrieval as I
 from sparkloom.plans import data_plan as P
 from sparkloom.sources import tables as T
 from sparkloom.streaming.state import bounded_history, windowed_requests
+from tests.oracle import difference
 
 
 def one(spark, column, value=None):
@@ -194,3 +197,16 @@ def test_surrogate_ids(spark):
     df = spark.createDataFrame([(i, None if i % 2 else f"p{i}", "s" if i < 8 else None) for i in range(0, 10)], "n long, id string, source string")
     assert [r.id for r in N.surrogate_ids(df, "id", "source", "n", width=3).orderBy("n").collect()] == ["p0", "s_1", "p2", "s_3", "p4", "s_5", "p6", "s_7", "p8", "_9"]
     assert N.surrogate_ids(df.limit(0), "id", "source", "n").collect() == []
+
+
+def test_failure_plan_rounds_as_its_sql(spark, tmp_path):
+    """1998.5 / 1000000 is a half in decimal digits and just below one in binary: it ties with 1998.2."""
+    name = "pln_failure_first"
+    prices = [(1, 1998.5, "1-URGENT"), (2, 1998.2, "2-HIGH"), (3, 1998.6, "2-HIGH"), (4, 1500.5, "5-LOW"), (5, -1998.5, "5-LOW"), (6, None, "5-LOW")]
+    spark.createDataFrame(prices, "o_orderkey long, o_totalprice double, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    assert difference(spark, con, catalogue.queries()[name], catalogue.oracle_sql()[name], str(tmp_path)) is None
+    cents = spark.range(-200000, 200000).select((F.col("id") / 100).alias("v")).select("v", X.rounded(F.col("v") / 1000000, 6).alias("r"))
+    want = dict(con.execute("SELECT i / 100, round(i / 100 / 1000000, 6) FROM range(-200000, 200000) t(i)").fetchall())
+    assert [r for r in cents.collect() if r.r != want[r.v]] == []
